@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, fingerprint, langid, linededup, media, mixing, quality, secrets
+from termloom.llm import bpe, fingerprint, langid, linededup, media, mixing, neardup, quality, secrets
 from termloom.llm.common import table
 
 
@@ -50,10 +50,15 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_components(table(spark, sf_dir, "documents"), k=3, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linededup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_quality_gam, op3_secret_scan, op4_poisson_mixing, op5_language_mixture, op7_line_dedup, op8_media_columns, op9_fingerprint)}
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_quality_gam, op3_secret_scan, op4_poisson_mixing, op5_language_mixture, op6_chosen_path, op7_line_dedup, op8_media_columns, op9_fingerprint)}
 ORACLES = {"op4_poisson_mixing": mixing.ORACLE, "op7_line_dedup": linededup.ORACLE}
