@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, fingerprint, langid, linededup, media, mixing, neardup, quality, secrets
+from termloom.llm import bpe, fingerprint, langid, linededup, media, mixing, neardup, paradedup, quality, secrets
 from termloom.llm.common import table
 
 
@@ -60,5 +60,9 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_quality_gam, op3_secret_scan, op4_poisson_mixing, op5_language_mixture, op6_chosen_path, op7_line_dedup, op8_media_columns, op9_fingerprint)}
+def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paradedup.repeated_paragraphs(table(spark, sf_dir, "documents")).drop("g_hash")
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_quality_gam, op3_secret_scan, op4_poisson_mixing, op5_language_mixture, op6_chosen_path, op7_line_dedup, op8_media_columns, op9_fingerprint, op10_paragraph_bands)}
 ORACLES = {"op4_poisson_mixing": mixing.ORACLE, "op7_line_dedup": linededup.ORACLE}
