@@ -1 +1 @@
-
+"""Scalar functions: each has a Column form, built from built-in functions."""

@@ -1 +1 @@
-
+"""From constraint text to DataFrame plans."""

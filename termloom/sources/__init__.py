@@ -1 +1 @@
-
+"""Reading release files and writing line-delimited JSON."""
