@@ -1 +1 @@
-
+"""Release deltas as a stream."""
