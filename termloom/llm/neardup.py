@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from termloom.llm import shingles
 from termloom.llm.common import Cuts, fresh, map_texts
-from termloom.llm.simjoin import BRANCH, similar_components
+from termloom.llm.simjoin import similar_components
 
-#: Minwise values of a document, and independent trees; each tree's root branches by BRANCH values.
-MINS, TREES = 64, 3
+#: Minwise values of a document, independent trees, and minwise values by which each tree's root branches.
+MINS, TREES, BRANCH = 64, 4, 3
 
 
 def signatures(texts: list[str], k: int, hasher: shingles.MinHash) -> list:
@@ -40,36 +40,37 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     last in order: a component of null ids only has a null id. Other columns are not read. An empty
     table gives an empty table. Intermediate tables are written to the shared folder of the cluster.
 
-    A link of similarity s is missed at one branching with probability (1 - s) ** BRANCH in each of
-    TREES independent trees: under 1e-8 at 0.8 for nodes that are small at once, as almost all are.
+    A link of similarity s shares none of the first TREES * BRANCH = 12 keys with probability
+    (1 - s) ** 12: 4e-9 at 0.8. Where tree nodes must branch, each level keeps a link with probability 0.85
+    or more on each of its paths: 1e-4 is lost on the third level, if the link is not made by a pivot.
     """
     cuts = Cuts(docs.sparkSession, "neardup")
     hasher = shingles.MinHash(MINS)
     n_words = MINS // 32
-    fields = "n_shingles long, node binary, mins array<int>, " + ", ".join(f"x{i} long" for i in range(n_words))
+    fields = "n_shingles long, digest binary, mins array<int>, " + ", ".join(f"x{i} long" for i in range(n_words))
     rows = docs.select(F.col(id_col).alias("g_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("g_hash"), F.col(text_col).alias("g_body"))
     signed = cuts.cut(map_texts(rows, "g_id", "g_body", lambda ts: signatures(ts, k, hasher), fields, setup=None, carry=("g_hash",)))
     who = F.struct(F.col("g_id").isNull().alias("no_id"), "g_id", "g_hash")
-    full = signed.filter("node IS NOT NULL")
-    reps = cuts.cut(full.groupBy("node").agg(F.min(who).alias("who")))
-    rep_rows = reps.select("node", F.col("who.g_id").alias("g_id"), F.col("who.g_hash").alias("g_hash"))
+    full = signed.filter("digest IS NOT NULL")
+    reps = full.groupBy("digest").agg(F.min(who).alias("who")).select("digest", F.col("who.g_id").alias("r_id"), F.col("who.g_hash").alias("r_hash"))
     marks = ["mins", *[f"x{i}" for i in range(n_words)]]
-    same = lambda a, b: a["node"].eqNullSafe(b["node"]) & a["g_id"].eqNullSafe(b["g_id"]) & (a["g_hash"] == b["g_hash"])
-    items = cuts.cut(full.join(rep_rows, same(full, rep_rows), "left_semi").select("node", *marks).dropDuplicates(["node"]))
+    first = full.join(reps, "digest").filter(F.col("g_id").eqNullSafe(F.col("r_id")) & (F.col("g_hash") == F.col("r_hash"))).dropDuplicates(["digest"])
+    # numbers are given as the table is written and stay: no later stage makes them anew
+    items = cuts.cut(first.select(F.monotonically_increasing_id().alias("node"), "digest", "g_id", "g_hash", *marks))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = rep_rows.join(nodes, "node").select(F.col("node"), F.col("g_id").alias("w_id"), F.col("g_hash").alias("w_hash"))
+        wanted = items.select("node", F.col("g_id").alias("w_id"), F.col("g_hash").alias("w_hash")).join(nodes, "node")
         return rows.join(wanted, rows["g_id"].eqNullSafe(wanted["w_id"]) & (rows["g_hash"] == wanted["w_hash"])).select("node", F.col("g_body").alias("text"))
 
     at = [(t, t * BRANCH + c) for t in range(TREES) for c in range(BRANCH)]
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.get("mins", F.lit(c))) for t, c in at])
     labels = similar_components(items, roots, texts_of, k, percent, cuts)
-    named = cuts.cut(reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "who"))
+    named = cuts.cut(items.select("node", "digest", who.alias("who")).join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "who"))
     heads = named.groupBy("label").agg(F.min("who").alias("head"))
-    of_node = cuts.cut(named.join(heads, "label").select("node", "head"))
-    own = signed.select("g_id", "g_hash", "n_shingles", "node").join(of_node, "node", "left")
-    stays = F.col("node").isNull() | (F.col("g_id").eqNullSafe(F.col("head.g_id")) & (F.col("g_hash") == F.col("head.g_hash")))
-    component = F.when(F.col("node").isNull(), F.col("g_id")).otherwise(F.col("head.g_id"))
+    of_node = cuts.cut(named.join(heads, "label").select("digest", "head"))
+    own = signed.select("g_id", "g_hash", "n_shingles", "digest").join(of_node, "digest", "left")
+    stays = F.col("digest").isNull() | (F.col("g_id").eqNullSafe(F.col("head.g_id")) & (F.col("g_hash") == F.col("head.g_hash")))
+    component = F.when(F.col("digest").isNull(), F.col("g_id")).otherwise(F.col("head.g_id"))
     return own.select(F.col("g_id").alias(id_col), "g_hash", "n_shingles", component.alias("component_id"), stays.alias("stays"))
 
 

@@ -45,7 +45,7 @@ def paragraphs(texts: list[str], k: int, min_words: int, hasher: shingles.MinHas
         values = hasher.values(groups)
         marks = shingles.sketches(values)[:, 0].tolist()
         for (i, pos, a, b, n), g, v, x in zip(where, groups, values, marks, strict=True):
-            found[i].append({"pos": pos, "start": a, "end": b, "n_words": n, "node": shingles.digest(g, DIGEST), "mins": v.view("int32"), "x0": x})
+            found[i].append({"pos": pos, "start": a, "end": b, "n_words": n, "digest": shingles.digest(g, DIGEST), "mins": v.view("int32"), "x0": x})
     return [found]
 
 
@@ -66,28 +66,29 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if bands * ROWS > MINS:
         raise ValueError("the threshold is too low for these bands")
     rows = docs.select(F.col(id_col).alias("g_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("g_hash"), F.col(text_col).alias("g_body"))
-    found = map_texts(rows, "g_id", "g_body", lambda ts: paragraphs(ts, k, min_words, hasher), "p array<struct<pos:int,start:int,end:int,n_words:int,node:binary,mins:array<int>,x0:long>>", carry=("g_hash",), budget=1 << 18)
+    found = map_texts(rows, "g_id", "g_body", lambda ts: paragraphs(ts, k, min_words, hasher), "p array<struct<pos:int,start:int,end:int,n_words:int,digest:binary,mins:array<int>,x0:long>>", carry=("g_hash",), budget=1 << 18)
     signed = found.select("g_id", "g_hash", F.inline("p"))
     who = F.struct(F.col("g_id").isNull().alias("no_id"), "g_id", "g_hash", "pos", "start")
     signed = cuts.cut(signed)
-    reps = cuts.cut(signed.groupBy("node").agg(F.min(who).alias("who")))
-    is_rep = signed.join(reps.select("node", "who"), "node").filter(who.eqNullSafe(F.col("who")))
-    items = cuts.cut(is_rep.select("node", "mins", "x0").dropDuplicates(["node"]))
+    reps = signed.groupBy("digest").agg(F.min(who).alias("who"))
+    first = signed.join(reps, "digest").filter(who.eqNullSafe(F.col("who"))).dropDuplicates(["digest"])
+    # numbers are given as the table is written and stay: no later stage makes them anew
+    items = cuts.cut(first.select(F.monotonically_increasing_id().alias("node"), "digest", "who", "mins", "x0"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = reps.join(nodes, "node").groupBy(F.col("who.g_id").alias("w_id"), F.col("who.g_hash").alias("w_hash")).agg(F.collect_list(F.struct(F.col("who.pos").alias("pos"), "node")).alias("p"))
+        wanted = items.select("node", "who").join(nodes, "node").groupBy(F.col("who.g_id").alias("w_id"), F.col("who.g_hash").alias("w_hash")).agg(F.collect_list(F.struct(F.col("who.pos").alias("pos"), "node")).alias("p"))
         lines = rows.join(wanted, rows["g_id"].eqNullSafe(wanted["w_id"]) & (rows["g_hash"] == wanted["w_hash"])).select(F.split("g_body", "\n", -1).alias("lines"), "p")
         return lines.select("lines", F.inline("p")).select("node", F.get("lines", "pos").alias("text"))
 
     roots = F.array(*[F.xxhash64(F.lit(b), *[F.get("mins", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(bands)])
     labels = similar_components(items, roots, texts_of, k, percent, cuts)
-    named = cuts.cut(reps.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "who"))
+    named = cuts.cut(items.select("node", "digest", "who").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "who"))
     heads = named.groupBy("label").agg(F.min("who").alias("head"))
-    of_node = named.join(heads, "label").select("node", "label", "head")
-    plain = signed.select("g_id", "g_hash", "pos", "start", "end", "n_words", "node").distinct()
-    sizes = plain.groupBy("node").count().join(of_node, "node")
-    classes = cuts.cut(sizes.groupBy("label").agg(F.sum("count").alias("n"), F.first("head").alias("head")).filter("n > 1").join(of_node.select("label", "node"), "label").select("node", "head"))
-    out = plain.join(classes, "node")
+    of_node = named.join(heads, "label").select("digest", "label", "head")
+    plain = signed.select("g_id", "g_hash", "pos", "start", "end", "n_words", "digest").distinct()
+    sizes = plain.groupBy("digest").count().join(of_node, "digest")
+    classes = cuts.cut(sizes.groupBy("label").agg(F.sum("count").alias("n"), F.first("head").alias("head")).filter("n > 1").join(of_node.select("label", "digest"), "label").select("digest", "head"))
+    out = plain.join(classes, "digest")
     return out.select(
         F.col("g_id").alias(id_col), "g_hash", "pos", "start", "end", "n_words",
         F.col("head.g_id").alias("class_doc"), F.col("head.start").alias("class_start"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,11 +15,11 @@ from termloom.llm.common import Cuts
 from termloom.llm.components import components
 
 #: A node of a tree is compared exhaustively once so many of its documents at most are outside its largest component.
-SMALL = 100
-#: Children of a node that is not small: it branches by so many minwise values.
-BRANCH = 4
+SMALL = 256
 #: Levels; what is still not small there is compared all the same.
-DEPTH = 5
+DEPTH = 6
+#: Documents of a node that is not small with which all its others are compared first.
+PIVOTS = 6
 #: The screen before the exact check lets pass what is within so many standard deviations of the threshold.
 SIGMAS = 5.0
 
@@ -45,7 +46,7 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
     schema = StructType([pairs.schema["a"], pairs.schema["b"]])
 
     def run(batches):
-        kept: dict[bytes, np.ndarray] = {}
+        kept: dict[int, np.ndarray] = {}
         for batch in batches:
             a, b, at, bt = (batch.column(i).to_pylist() for i in range(4))
             mask = []
@@ -65,70 +66,95 @@ def check_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
 def similar_components(items: DataFrame, roots: Column, texts_of: Callable[[DataFrame], DataFrame], k: int, percent: int, cuts: Cuts) -> DataFrame:
     """(node, label) for the nodes that have a link; the label is the smallest node of the component.
 
-    `items` (written already) has a distinct set each: node, mins (array of minwise values), and
-    sketches x0, x1 ... `roots` makes the array of first node keys: one for each tree and chosen
+    `items` (a written table) has a distinct set each: node (a number), mins (array of minwise values),
+    and sketches x0, x1 ... `roots` makes the array of first keys: one for each tree and chosen
     minwise value. texts_of(nodes) gives (node, text) of given nodes.
 
-    1. Nodes of two or more documents: each document is compared with the node's smallest one, by
-       sketch and then exactly. Components of these links gather groups of near copies at linear cost.
-    2. In each node, the documents outside its largest component are compared with all the others
-       of other components, if they are SMALL or fewer; what is left out is linked already. A node
-       with more branches by BRANCH further minwise values, DEPTH times at most; then it is
-       compared all the same. So no pair within a component is made, and no link is given up.
+    Each level holds tree nodes, which are the documents of equal keys, two or more.
+
+    1. Each document of a tree node is compared with one of them, the node's pivot, by sketch and then
+       exactly; tree nodes that share documents have different pivots. The components of these
+       links gather groups of near copies at linear cost.
+    2. A tree node with more than SMALL documents outside its largest component gets PIVOTS more of
+       them for pivots.
+    3. In a small tree node the documents outside its largest component are compared with all those of
+       other components; the rest is linked already. One that is not small branches by further
+       minwise values, chosen by its path, 1 / threshold of them on average: so documents below the
+       threshold thin out from level to level, and those above do not. At DEPTH it is compared all
+       the same. No pair within a component is made, and no link is given up for size.
     """
     words = len([c for c in items.columns if c[0] == "x" and c[1:].isdigit()])
     size = 32 * words
     screen = differing(words) <= most_differing(size, percent / 100)
-    n_mins = size
     keys = items.select("node", F.explode(roots).alias("key"))
-    members, texts = _shared(keys, cuts), None
+    members = _shared(keys, cuts)
     if members.isEmpty():
         return members.select("node", F.col("node").alias("label"))
     texts = cuts.cut(texts_of(members.select("node").distinct()))
-
-    def screened(pairs: DataFrame) -> DataFrame:
-        side = lambda c, v: items.select(F.col("node").alias(c), *[F.col(f"x{i}").alias(f"{v}{i}") for i in range(words)])
+    sketched = items.select("node", *[f"x{i}" for i in range(words)])
+    labels = members.select("node", F.col("node").alias("label")).limit(0)
+    links: list[DataFrame] = []
+
+    def learn(pairs: DataFrame) -> bool:
+        """Check candidate pairs exactly and update the components; whether there was a link."""
+        nonlocal labels
+        pairs = cuts.cut(pairs)
+        found = None if pairs.isEmpty() else cuts.cut(check_pairs(pairs, texts, k, percent))
+        cuts.drop(pairs)
+        if found is None or found.isEmpty():
+            return False
+        links.append(found)
+        labels = components(reduce(DataFrame.union, links), cuts)
+        return True
+
+    def starred(pivots: DataFrame, members: DataFrame) -> DataFrame:
+        """Screened pairs (a, b) of members and pivots (key, b) of other components."""
+        side = lambda c, v: sketched.select(F.col("node").alias(c), *[F.col(f"x{i}").alias(f"{v}{i}") for i in range(words)])
+        apart = F.lit(True) if "comp" not in members.columns else F.col("comp") != F.col("b_comp")
+        pairs = members.withColumnRenamed("node", "a").join(pivots, "key").filter(F.col("a") != F.col("b")).filter(apart)
+        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(screen).select("a", "b")
 
-    first = cuts.cut(members.groupBy("key").agg(F.min("node").alias("b")))
-    stars = cuts.cut(screened(members.join(first, "key").select(F.col("node").alias("a"), "b").filter("a != b").distinct()))
-    links = cuts.cut(check_pairs(stars, texts, k, percent))
-    labels = components(links, cuts)
-    cuts.drop(first, stars)
-
-    found: list[DataFrame] = []
+    luck = F.xxhash64("key", "node")
+    first = cuts.cut(members.groupBy("key").agg(F.min(luck).alias("luck")))
+    pivots = cuts.cut(members.withColumn("luck", luck).join(first, ["key", "luck"]).select("key", F.col("node").alias("b")))
+    learn(starred(pivots, members))
+    cuts.drop(first, pivots)
     for depth in range(DEPTH + 1):
-        if depth:
-            keys = wide.join(items.select("node", "mins"), "node").select("node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda c: chosen(F.col("key"), c, F.col("mins"), n_mins))).alias("key"))  # noqa: B023
-            members = _shared(keys, cuts)
-        named = cuts.cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp")))
-        sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-        open_keys = cuts.cut(
-            sizes.groupBy("key").agg(F.sum("n").alias("all_n"), F.max(F.struct("n", "comp")).alias("top"))
-            .select("key", F.col("top.comp").alias("main"), (F.col("all_n") - F.col("top.n")).alias("outside"))
-            .filter("outside > 0")
-        )
-        opened = cuts.cut(named.join(open_keys, "key").select("key", "node", "comp", "outside", (F.col("comp") != F.col("main")).alias("out")))
+        opened = _opened(members, labels, cuts)
+        wide = opened.filter(F.col("outside") > SMALL)
+        if not wide.isEmpty():
+            out = wide.filter("out").select("key", "node", "comp", (F.pmod(F.xxhash64("key", "node", F.lit(7)), F.lit(1 << 30)) * F.col("outside") < (PIVOTS << 30)).alias("drawn"))
+            more = cuts.cut(out.filter("drawn").select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp")))
+            if learn(starred(more, wide.select("key", "node", "comp"))):
+                opened = _opened(members, labels, cuts)
         small = opened if depth == DEPTH else opened.filter(F.col("outside") <= SMALL)
-        found.append(_across(small, items, words, screen, cuts))
-        cuts.drop(members, named, open_keys)
+        learn(_across(small, sketched, words, screen))
+        cuts.drop(members)
+        if depth == DEPTH:
+            break
         wide = opened.filter(F.col("outside") > SMALL).select("key", "node")
-        if depth == DEPTH or wide.isEmpty():
+        if wide.isEmpty():
             break
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.union(p)
-    pairs = cuts.cut(pairs.distinct())
-    if pairs.isEmpty():
-        return labels
-    more = cuts.cut(check_pairs(pairs, texts, k, percent))
-    return labels if more.isEmpty() else components(links.union(more), cuts)
-
-
-def chosen(key: Column, c: Column, mins: Column, n_mins: int) -> Column:
-    """The key of a node's child: the path chooses which minwise value it branches by."""
-    at = F.pmod(F.xxhash64(key, c), F.lit(n_mins)).cast("int")
-    return F.xxhash64(key, at, F.get(mins, at))
+        second = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1000)) < int(1000 * (100 / percent - 1))
+        path = lambda c: F.xxhash64("key", F.lit(c), F.pmod(F.xxhash64("key", F.lit(c)), F.lit(size)), F.get("mins", F.pmod(F.xxhash64("key", F.lit(c)), F.lit(size)).cast("int")))
+        keys = wide.join(items.select("node", "mins"), "node").select("node", F.explode(F.when(second, F.array(path(0), path(1))).otherwise(F.array(path(0)))).alias("key"))
+        members = _shared(keys, cuts)
+    return labels
+
+
+def _opened(members: DataFrame, labels: DataFrame, cuts: Cuts) -> DataFrame:
+    """(key, node, comp, outside, out) of the tree nodes with two components or more: how many documents are outside the largest, and which."""
+    named = cuts.cut(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("comp")))
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    open_keys = cuts.cut(
+        sizes.groupBy("key").agg(F.sum("n").alias("all_n"), F.max("n").alias("top"), F.count(F.lit(1)).alias("comps"))
+        .filter("comps > 1").select("key", "top", (F.col("all_n") - F.col("top")).alias("outside"))
+    )
+    main = cuts.cut(sizes.join(open_keys, "key").filter("n = top").groupBy("key", "outside").agg(F.min("comp").alias("main")))
+    out = cuts.cut(named.join(main, "key").select("key", "node", "comp", "outside", (F.col("comp") != F.col("main")).alias("out")))
+    cuts.drop(named, open_keys, main)
+    return out
 
 
 def _shared(keys: DataFrame, cuts: Cuts) -> DataFrame:
@@ -139,12 +165,11 @@ def _shared(keys: DataFrame, cuts: Cuts) -> DataFrame:
     return out
 
 
-def _across(opened: DataFrame, items: DataFrame, words: int, screen: Column, cuts: Cuts) -> DataFrame:
-    """Pairs of different components in a node that pass the screen, at least one of them outside its largest component."""
-    rows = opened.join(items.select("node", *[f"x{i}" for i in range(words)]), "node")
-    rows = cuts.cut(rows)
+def _across(opened: DataFrame, sketched: DataFrame, words: int, screen: Column) -> DataFrame:
+    """Pairs of different components in a tree node that pass the screen, at least one of them outside its largest component."""
+    rows = opened.join(sketched, "node")
     left = rows.filter("out").select("key", F.col("node").alias("a"), F.col("comp").alias("a_comp"), *[f"x{i}" for i in range(words)])
     right = rows.select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp"), "out", *[F.col(f"x{i}").alias(f"y{i}") for i in range(words)])
     once = ~F.col("out") | (F.col("a") < F.col("b"))
     pairs = left.join(right, "key").filter(F.col("a_comp") != F.col("b_comp")).filter(once & screen)
-    return cuts.cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
