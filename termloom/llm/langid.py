@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -14,16 +13,27 @@ from termloom.llm.common import filter_texts, map_texts
 WORD = re.compile(r"[^\W\d_]+")
 ORDERS = (1, 2, 3, 4)
 #: Buckets of hashed n-grams.
-BUCKETS = 1 << 17
+BITS = 17
+BUCKETS = 1 << BITS
 #: Words whose likelihoods a task keeps; it starts anew when full.
 CACHE = 200_000
 UNKNOWN = "und"
 
 
-def grams(word: str) -> np.ndarray:
-    """Buckets of a word's character n-grams, its ends marked."""
-    w = f"<{word}>"
-    return np.array([zlib.crc32(w[i : i + n].encode()) % BUCKETS for n in ORDERS for i in range(len(w) - n + 1)], np.int64)
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all words' character n-grams, the words' ends marked, and the word that each belongs to."""
+    text = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), "<u4").astype(np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
+    buckets, owners, h = [], [], np.zeros(len(text), np.uint32)
+    for n in ORDERS:
+        # h holds the hash of the n - 1 characters from each place on
+        h = (h[: len(text) - n + 1] ^ text[n - 1 :]) * np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        inside = owner[: len(h)] == owner[n - 1 :]
+        buckets.append(((h[inside] * np.uint32(0x85EBCA77)) >> np.uint32(32 - BITS)).astype(np.int32))
+        owners.append(owner[: len(h)][inside])
+    return np.concatenate(buckets), np.concatenate(owners)
 
 
 class Languages:
@@ -40,9 +50,12 @@ class Languages:
         self.names, self.table = names, table
         return self
 
-    def word(self, word: str) -> np.ndarray:
-        """Mean log-likelihood of the n-grams, times the word's letters: each letter counts once, whatever the orders."""
-        return self.table[grams(word)].mean(axis=0) * len(word)
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        """words x languages: the mean log-likelihood of a word's n-grams times its letters, so that each letter counts once."""
+        at, owner = grams(words)
+        sums = [np.bincount(owner, self.table[at, k], len(words)) for k in range(len(self.names))]
+        scale = np.fromiter(map(len, words), np.float64, len(words)) / np.bincount(owner, minlength=len(words))
+        return np.stack(sums, axis=1) * scale[:, None]
 
 
 def mixture(logs: np.ndarray, counts: np.ndarray, chosen: list[int], rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -83,31 +96,30 @@ def infer(logs: np.ndarray, counts: np.ndarray, penalty: float = 6.0) -> dict[in
 
 
 class Predictor:
+    """Keeps the likelihoods of the words met so far; starts anew when CACHE is full."""
+
     def __init__(self, model: Languages):
-        self.model, self.index, self.rows = model, {}, np.zeros((1024, len(model.names)), np.float32)
+        self.model, self.index, self.rows = model, {}, np.zeros((0, len(model.names)))
 
-    def proportions(self, text: str) -> dict[str, float]:
-        """Language to proportion; empty for a text without letters."""
-        words = WORD.findall(text.lower())
-        if not words:
-            return {}
+    def proportions(self, texts: list[str]) -> list[dict[str, float]]:
+        """Language to proportion for each text; empty for a text without letters."""
+        if not self.model.names:
+            return [{} for _ in texts]
         if len(self.index) > CACHE:
-            self.index = {}
-        at = [self.index.get(w, -1) for w in words]
-        if -1 in at:
-            for i, k in enumerate(at):
-                if k < 0:
-                    w = words[i]
-                    if (k := self.index.get(w, -1)) < 0:
-                        k = self.index[w] = len(self.index)
-                        if k >= len(self.rows):
-                            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                        self.rows[k] = self.model.word(w)
-                    at[i] = k
-        counts = np.bincount(at)
-        used = np.flatnonzero(counts)
-        found = infer(self.rows[used].astype(np.float64), counts[used].astype(np.float64))
-        return {self.model.names[k]: s for k, s in found.items()}
+            self.index, self.rows = {}, self.rows[:0]
+        index, found = self.index, [WORD.findall(t.lower()) for t in texts]
+        at = [[index.setdefault(w, len(index)) for w in words] for words in found]
+        if len(index) > len(self.rows):
+            new = list(index)[len(self.rows) :]
+            self.rows = np.concatenate([self.rows, self.model.likelihoods(new)])
+        out = []
+        for places in at:
+            if not places:
+                out.append({})
+                continue
+            used, counts = np.unique(np.array(places, np.int64), return_counts=True)
+            out.append({self.model.names[k]: s for k, s in infer(self.rows[used], counts.astype(np.float64)).items()})
+        return out
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, most_languages: int = 500, seed: int = 5) -> Languages:
@@ -128,7 +140,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
     def count(batches):
         import pyarrow as pa
 
-        found: dict[str, np.ndarray] = {}
         words: dict[str, dict[str, int]] = {}
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -136,10 +147,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
                 for w in WORD.findall(text.lower()):
                     seen[w] = seen.get(w, 0) + 1
         for lang, seen in words.items():
-            counts = found[lang] = np.zeros(BUCKETS, np.int64)
-            for w, n in seen.items():
-                np.add.at(counts, grams(w), n)
-        for lang, counts in found.items():
+            if not seen:
+                continue
+            place, owner = grams(list(seen))
+            counts = np.bincount(place, np.array(list(seen.values()))[owner], BUCKETS).astype(np.int64)
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at], pa.int64())], names=["lang", "bucket", "n"])
 
@@ -167,7 +178,7 @@ def detect(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col:
         return Predictor(Languages.of(*shared.value))
 
     def apply(p: Predictor, texts: list[str]) -> list:
-        rows = [sorted(p.proportions(t).items(), key=lambda x: (-x[1], x[0])) if p.model.names else [] for t in texts]
+        rows = [sorted(x.items(), key=lambda x: (-x[1], x[0])) for x in p.proportions(texts)]
         return [[r[0][0] if r else UNKNOWN for r in rows], [min(1.0, r[0][1]) if r else 0.0 for r in rows], [",".join(f"{k}:{v:.4f}" for k, v in r) for r in rows]]
 
     return map_texts(docs, id_col, text_col, apply, "lang_pred string, score double, langs string", setup=setup, carry=carry)
@@ -183,7 +194,7 @@ def keep_languages(docs: DataFrame, model: Languages, accepted: list[str] | None
     wanted = set(names if accepted is None else accepted)
 
     def keep(p: Predictor, texts: list[str]) -> list[bool]:
-        best = [max(p.proportions(t).items(), key=lambda x: (x[1], x[0]), default=(UNKNOWN, 0.0)) for t in texts]
+        best = [max(x.items(), key=lambda x: (x[1], x[0]), default=(UNKNOWN, 0.0)) for x in p.proportions(texts)]
         return [k in wanted and v >= least for k, v in best]
 
     return filter_texts(docs, text_col, keep, setup=lambda: Predictor(Languages.of(names, tab.value)))
