@@ -73,74 +73,71 @@ def similar_components(items: DataFrame, roots: Column, texts_of: Callable[[Data
     Each level holds tree nodes, which are the documents of equal keys, two or more.
 
     1. Each document of a tree node is compared with one of them, the node's pivot, by sketch and then
-       exactly; tree nodes that share documents have different pivots. The components of these
-       links gather groups of near copies at linear cost.
-    2. A tree node with more than SMALL documents outside its largest component gets PIVOTS more of
-       them for pivots.
-    3. In a small tree node the documents outside its largest component are compared with all those of
-       other components; the rest is linked already. One that is not small branches by further
-       minwise values, chosen by its path, 1 / threshold of them on average: so documents below the
-       threshold thin out from level to level, and those above do not. At DEPTH it is compared all
-       the same. No pair within a component is made, and no link is given up for size.
+       exactly; in nodes of more than SMALL with about PIVOTS more. Tree nodes that share documents
+       have different pivots. The components of these links gather groups of near copies at linear cost.
+    2. A tree node with SMALL documents or fewer outside its largest component is small: those are
+       compared with all documents of other components, by sketch; the rest is linked already. One
+       that is not small branches by further minwise values, chosen by its path, 1 / threshold of them
+       on average: so documents below the threshold thin out from level to level, and those above
+       do not. At DEPTH it is compared all the same.
+    3. What passed the sketches at any level is checked exactly, once.
+
+    No pair within a component is made, and no link is given up for size. Texts are shuffled twice,
+    for the two exact checks, and only those go further that some pair names.
     """
     words = len([c for c in items.columns if c[0] == "x" and c[1:].isdigit()])
     size = 32 * words
     screen = differing(words) <= most_differing(size, percent / 100)
-    keys = items.select("node", F.explode(roots).alias("key"))
-    members = _shared(keys, cuts)
-    if members.isEmpty():
-        return members.select("node", F.col("node").alias("label"))
-    texts = cuts.cut(texts_of(members.select("node").distinct()))
     sketched = items.select("node", *[f"x{i}" for i in range(words)])
-    labels = members.select("node", F.col("node").alias("label")).limit(0)
-    links: list[DataFrame] = []
-
-    def learn(pairs: DataFrame) -> bool:
-        """Check candidate pairs exactly and update the components; whether there was a link."""
-        nonlocal labels
-        pairs = cuts.cut(pairs)
-        found = None if pairs.isEmpty() else cuts.cut(check_pairs(pairs, texts, k, percent))
-        cuts.drop(pairs)
-        if found is None or found.isEmpty():
-            return False
-        links.append(found)
-        labels = components(reduce(DataFrame.union, links), cuts)
-        return True
-
-    def starred(pivots: DataFrame, members: DataFrame) -> DataFrame:
-        """Screened pairs (a, b) of members and pivots (key, b) of other components."""
-        side = lambda c, v: sketched.select(F.col("node").alias(c), *[F.col(f"x{i}").alias(f"{v}{i}") for i in range(words)])
-        apart = F.lit(True) if "comp" not in members.columns else F.col("comp") != F.col("b_comp")
-        pairs = members.withColumnRenamed("node", "a").join(pivots, "key").filter(F.col("a") != F.col("b")).filter(apart)
-        pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(screen).select("a", "b")
-
-    luck = F.xxhash64("key", "node")
-    first = cuts.cut(members.groupBy("key").agg(F.min(luck).alias("luck")))
-    pivots = cuts.cut(members.withColumn("luck", luck).join(first, ["key", "luck"]).select("key", F.col("node").alias("b")))
-    learn(starred(pivots, members))
-    cuts.drop(first, pivots)
+    members = _shared(items.select("node", F.explode(roots).alias("key")), cuts)
+    none = members.select("node", F.col("node").alias("label")).limit(0)
+
+    def exact(pairs: DataFrame) -> DataFrame | None:
+        if pairs.isEmpty():
+            return None
+        named = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        texts = cuts.cut(texts_of(named))
+        found = cuts.cut(check_pairs(pairs, texts, k, percent))
+        cuts.drop(texts)
+        return None if found.isEmpty() else found
+
+    stars = cuts.cut(_starred(members, sketched, words, screen))
+    links = exact(stars)
+    labels = none if links is None else components(links, cuts)
+    found: list[DataFrame] = []
     for depth in range(DEPTH + 1):
         opened = _opened(members, labels, cuts)
-        wide = opened.filter(F.col("outside") > SMALL)
-        if not wide.isEmpty():
-            out = wide.filter("out").select("key", "node", "comp", (F.pmod(F.xxhash64("key", "node", F.lit(7)), F.lit(1 << 30)) * F.col("outside") < (PIVOTS << 30)).alias("drawn"))
-            more = cuts.cut(out.filter("drawn").select("key", F.col("node").alias("b"), F.col("comp").alias("b_comp")))
-            if learn(starred(more, wide.select("key", "node", "comp"))):
-                opened = _opened(members, labels, cuts)
         small = opened if depth == DEPTH else opened.filter(F.col("outside") <= SMALL)
-        learn(_across(small, sketched, words, screen))
-        cuts.drop(members)
-        if depth == DEPTH:
-            break
+        found.append(cuts.cut(_across(small, sketched, words, screen)))
         wide = opened.filter(F.col("outside") > SMALL).select("key", "node")
-        if wide.isEmpty():
+        if depth == DEPTH or wide.isEmpty():
             break
         second = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(1000)) < int(1000 * (100 / percent - 1))
-        path = lambda c: F.xxhash64("key", F.lit(c), F.pmod(F.xxhash64("key", F.lit(c)), F.lit(size)), F.get("mins", F.pmod(F.xxhash64("key", F.lit(c)), F.lit(size)).cast("int")))
+
+        def path(c: int) -> Column:
+            at = F.pmod(F.xxhash64("key", F.lit(c)), F.lit(size)).cast("int")
+            return F.xxhash64("key", F.lit(c), at, F.get("mins", at))
+
         keys = wide.join(items.select("node", "mins"), "node").select("node", F.explode(F.when(second, F.array(path(0), path(1))).otherwise(F.array(path(0)))).alias("key"))
+        cuts.drop(members)
         members = _shared(keys, cuts)
-    return labels
+    pairs = cuts.cut(reduce(DataFrame.union, found).distinct().join(stars, ["a", "b"], "left_anti"))
+    more = exact(pairs)
+    if more is None:
+        return labels
+    return components(more if links is None else links.union(more), cuts)
+
+
+def _starred(members: DataFrame, sketched: DataFrame, words: int, screen: Column) -> DataFrame:
+    """Screened pairs (a, b) of the members of a tree node and its pivots: the luckiest of its members, and of a large node some more."""
+    luck = F.xxhash64("key", "node")
+    best = members.groupBy("key").agg(F.min(luck).alias("best"), F.count(F.lit(1)).alias("n"))
+    drawn = (F.col("n") > SMALL) & (F.pmod(F.xxhash64("node", "key"), F.lit(1 << 30)).cast("double") * F.col("n") < float(PIVOTS << 30))
+    pivots = members.join(best, "key").filter((luck == F.col("best")) | drawn).select("key", F.col("node").alias("b"))
+    pairs = members.select("key", F.col("node").alias("a")).join(pivots, "key").filter("a <> b")
+    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    side = lambda c, v: sketched.select(F.col("node").alias(c), *[F.col(f"x{i}").alias(f"{v}{i}") for i in range(words)])
+    return pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").filter(screen).select("a", "b")
 
 
 def _opened(members: DataFrame, labels: DataFrame, cuts: Cuts) -> DataFrame:
