@@ -1,13 +1,13 @@
-"""Helpers that every operator here shares: table access, lineage cuts, column names."""
+"""Helpers that every operator here shares: table access, column names, runs of whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.cuts import Cuts, checkpoint_root  # noqa: F401
+
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -17,37 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of this machine only where none is configured (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="termloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Cuts:
-    """Tables written to the shared folder to cut lineage; drop() removes those no longer needed."""
-
-    def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base, self.n = spark, f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-
-    def cut(self, df: DataFrame) -> DataFrame:
-        path, self.n = f"{self.base}/{self.n}", self.n + 1
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
-        for df in frames:
-            if path := self.paths.pop(id(df), None):
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names that clash with no column of df, whatever the case."""
     taken, out = {c.lower() for c in df.columns}, []
