@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import shingles
 from termloom.llm.common import Cuts, fresh, map_texts
-from termloom.llm.simjoin import similar_components
+from termloom.llm.simjoin import sieve, similar_components
 
 #: Minwise values of a document, independent trees, and minwise values by which each tree's root branches.
 MINS, TREES, BRANCH = 64, 4, 3
@@ -60,7 +60,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = items.select("node", F.col("g_id").alias("w_id"), F.col("g_hash").alias("w_hash")).join(nodes, "node")
-        return rows.join(wanted, rows["g_id"].eqNullSafe(wanted["w_id"]) & (rows["g_hash"] == wanted["w_hash"])).select("node", F.col("g_body").alias("text"))
+        near = sieve(rows, "g_hash", wanted, "w_hash")
+        return near.join(wanted, near["g_id"].eqNullSafe(wanted["w_id"]) & (near["g_hash"] == wanted["w_hash"])).select("node", F.col("g_body").alias("text"))
 
     at = [(t, t * BRANCH + c) for t in range(TREES) for c in range(BRANCH)]
     roots = F.array(*[F.xxhash64(F.lit(t), F.lit(c), F.get("mins", F.lit(c))) for t, c in at])

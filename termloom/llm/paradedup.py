@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import shingles
 from termloom.llm.common import Cuts, fresh, map_texts
-from termloom.llm.simjoin import similar_components
+from termloom.llm.simjoin import sieve, similar_components
 
 #: 32 minwise values; 9 bands of 2: a pair at the threshold of 0.8 is missed with probability (1 - 0.64) ** 9 = 1e-4.
 MINS, ROWS = 32, 2
@@ -77,7 +77,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = items.select("node", "who").join(nodes, "node").groupBy(F.col("who.g_id").alias("w_id"), F.col("who.g_hash").alias("w_hash")).agg(F.collect_list(F.struct(F.col("who.pos").alias("pos"), "node")).alias("p"))
-        lines = rows.join(wanted, rows["g_id"].eqNullSafe(wanted["w_id"]) & (rows["g_hash"] == wanted["w_hash"])).select(F.split("g_body", "\n", -1).alias("lines"), "p")
+        near = sieve(rows, "g_hash", wanted, "w_hash")
+        lines = near.join(wanted, near["g_id"].eqNullSafe(wanted["w_id"]) & (near["g_hash"] == wanted["w_hash"])).select(F.split("g_body", "\n", -1).alias("lines"), "p")
         return lines.select("lines", F.inline("p")).select("node", F.get("lines", "pos").alias("text"))
 
     roots = F.array(*[F.xxhash64(F.lit(b), *[F.get("mins", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(bands)])

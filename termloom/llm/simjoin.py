@@ -8,7 +8,7 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType, _parse_datatype_string
+from pyspark.sql.types import StructType
 
 from termloom.llm import shingles
 from termloom.llm.common import Cuts
@@ -20,6 +20,8 @@ SMALL = 256
 DEPTH = 6
 #: Documents of a node that is not small with which all its others are compared first.
 PIVOTS = 6
+#: Bits of the sieve that texts pass before they are shuffled to the exact check.
+SIEVE_BITS = 24
 #: The screen before the exact check lets pass what is within so many standard deviations of the threshold.
 SIGMAS = 5.0
 
@@ -39,6 +41,21 @@ def most_differing(size: int, threshold: float) -> int:
     return int(np.ceil(size * (1 - same) + SIGMAS * np.sqrt(size * same * (1 - same))))
 
 
+def sieve(rows: DataFrame, column: str, wanted: DataFrame, wanted_column: str) -> DataFrame:
+    """The rows whose hash may be among the wanted ones, before they are shuffled; none that is wanted is lost.
+
+    The wanted hashes set bits of 512 bitmaps of 4 KB, whatever their number: that is all that is
+    broadcast. On a very large table the bits fill up and the sieve lets more through; the join
+    that follows decides in any case.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(1 << SIEVE_BITS)) + 1
+    maps = wanted.select(place(wanted_column).alias("g_place")).groupBy(F.bitmap_bucket_number("g_place").alias("g_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("g_place")).alias("g_bits"))
+    at = F.bitmap_bit_position(place(column))
+    byte = F.conv(F.hex(F.substring(F.col("g_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    joined = rows.join(F.broadcast(maps), F.bitmap_bucket_number(place(column)) == F.col("g_bucket"))
+    return joined.filter(F.floor(byte / F.pow(F.lit(2), at % 8)) % 2 == 1).select(*[rows[c] for c in rows.columns])
+
+
 def check_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets satisfy 100 * intersection >= percent * union."""
     import pyarrow as pa

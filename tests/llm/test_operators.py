@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from termloom.llm import bpe, fingerprint, langid, linededup, media, mixing, neardup, paradedup, quality, secrets, shingles
+from termloom.llm import bpe, fingerprint, langid, linededup, media, mixing, neardup, paradedup, quality, secrets, shingles, simjoin
 from termloom.llm.components import components
 from termloom.llm.common import Cuts
 from termloom.llm.queries import vocabulary
@@ -268,6 +268,14 @@ def test_components(spark):
     assert {r["node"]: r["label"] for r in out.collect()} == label
 
 
+def test_sieve_loses_nothing(spark):
+    rows = spark.range(3000).select(F.col("id"), F.xxhash64("id").alias("h"))
+    wanted = rows.filter("id % 10 = 3").select(F.col("h").alias("w"))
+    got = {r["id"] for r in simjoin.sieve(rows, "h", wanted, "w").collect()}
+    assert {i for i in range(3000) if i % 10 == 3} <= got and len(got) < 310
+    assert simjoin.sieve(rows, "h", wanted.limit(0), "w").count() == 0
+
+
 def test_shingle_hashes():
     texts = ["A b  c\td", "a B c d", "a b c", "", "x", "one two three four five six"]
     for k in (1, 2, 3, 5):
