@@ -1,7 +1,6 @@
 """Expression constraints: syntax, refusals, evaluation."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from termloom.functions import constants as K
 from termloom.functions.ids import compose_id

@@ -1,7 +1,6 @@
 """OWL parsing, classification, normal forms, terminology operations, command line."""
 
 import pytest
-from pyspark.sql import functions as F
 
 from termloom import cli
 from termloom.functions import constants as K
