@@ -13,8 +13,9 @@ from termloom.operators import graph
 from termloom.operators.nnf import NormalForms
 from termloom.operators.snapshot import Snapshot
 
-# fixed value: the code system's address
+# fixed values: the code system's address and name
 SYSTEM = "http://snomed.info/sct"
+SYSTEM_NAME = "SNOMED CT"
 
 
 class FhirError(ValueError):
@@ -80,7 +81,7 @@ def lookup(snapshot: Snapshot, codes: DataFrame | None = None, language_refset:
 def lookup_one(snapshot: Snapshot, system: str, code: int, version: str | None = None, **options) -> dict:
     check(snapshot, system, code)
     row = lookup(snapshot, snapshot.spark.createDataFrame([(code,)], "id long"), **options).first()
-    return {"name": "SNOMED CT", "version": version, **row.asDict(recursive=True)}
+    return {"name": SYSTEM_NAME, "version": version, **row.asDict(recursive=True)}
 
 
 def render(snapshot: Snapshot, forms: NormalForms, language_refset: int | None = None, terse: bool = False) -> DataFrame:
