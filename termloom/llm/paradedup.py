@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm import shingles
+from termloom.llm import passages, shingles
 from termloom.llm.common import Cuts, fresh, map_texts
 from termloom.llm.simjoin import sieve, similar_components
 
@@ -97,6 +97,16 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 50) -> DataFrame:
+    """Passages that repeat inside longer lines or over several short ones, in the columns of repeated_paragraphs(); `pos` is null.
+
+    They are runs of `run` words or more that repeat word for word (see passages.repeated_runs); of
+    an edited passage only the unedited stretches of that length are found.
+    """
+    out = passages.repeated_runs(docs, id_col, text_col, run)
+    return out.select(id_col, "g_hash", F.lit(None).cast("int").alias("pos"), "start", "end", "n_words", "class_doc", "class_start", "removed")
+
+
 def paragraph_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of `docs`, with all columns, without their removed paragraphs; the other paragraphs stay in order, joined by newlines."""
     th, wid, wh, gone, lines = fresh(docs, "g_texthash", "g_wid", "g_whash", "g_gone", "g_lines")

@@ -61,7 +61,8 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_paragraph_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paradedup.repeated_paragraphs(table(spark, sf_dir, "documents")).drop("g_hash")
+    docs = table(spark, sf_dir, "documents")
+    return paradedup.repeated_paragraphs(docs).unionByName(paradedup.repeated_passages(docs)).drop("g_hash")
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_tree, op2_quality_gam, op3_secret_scan, op4_poisson_mixing, op5_language_mixture, op6_chosen_path, op7_line_dedup, op8_media_columns, op9_fingerprint, op10_paragraph_bands)}

@@ -73,15 +73,30 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(s, ends)
 
 
+def word_bounds(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends, in code points of their text, of the words that words() gives."""
+    raws = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join(raws), np.uint8)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], SPACE[data], [True])).astype(np.int8)))
+    letters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    base = np.cumsum([0, *(len(r) + 1 for r in raws[:-1])]) if raws else np.zeros(1, int)
+    own = letters[base[np.searchsorted(base, edge[::2], "right") - 1]]
+    return letters[edge[::2]] - own, letters[edge[1::2]] - own
+
+
+def grams(h: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k words in a row."""
+    run = np.zeros(max(len(h) - k + 1, 0), np.uint64)
+    for j in range(k if len(run) else 0):
+        run *= BASE
+        run += h[j : j + len(run)]
+    return mix(run)
+
+
 def sets(texts: list[str], k: int) -> list[np.ndarray]:
     """Each text's set of k-word shingles, sorted; with fewer words the whole sequence is one; without words it is empty."""
     h, ends = words(texts)
-    n = len(h) - k + 1
-    run = np.zeros(max(n, 0), np.uint64)
-    for j in range(k if n > 0 else 0):
-        run *= BASE
-        run += h[j : j + n]
-    run = mix(run)
+    run = grams(h, k)
     out, start = [], 0
     for end in ends.tolist():
         if end - start >= k:

@@ -316,6 +316,38 @@ def test_paragraphs(spark, docs, empty):
     pytest.raises(ValueError, paradedup.repeated_paragraphs, docs, percent=30)
 
 
+def test_repeated_passages(spark, docs, empty):
+    """Passages inside long lines and wrapped into short ones, against all windows counted one by one."""
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, other = words(60), words(49)
+    rows = [
+        (1, " ".join(["é🙂", *words(100), *passage, *words(200)])),
+        (2, "\n".join(" ".join(x) for x in (words(9), passage[:20], passage[20:41], passage[41:], words(9)))),
+        (3, " ".join([*words(30), *other, *words(30)])), (4, " ".join([*words(70), *other])),
+        (5, " ".join([*passage[5:56], *words(3), *passage[5:56]]).upper()), (6, " ".join(words(300))), (7, None), (8, "x " * 120), (9, "x " * 120),
+    ]
+    for run, table in ((50, [*rows, rows[0]]), (13, rows_of(docs))):
+        frame = spark.createDataFrame(table, "doc_id long, text string")
+        spots = defaultdict(list)
+        for i, t in set(table):
+            found = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", t or "")]
+            w = [(t or "")[a:b].translate(ASCII_LOWER) for a, b in found]
+            for at in range(len(w) - run + 1):
+                spots[tuple(w[at : at + run])].append((i, t, found[at][0], found[at + run - 1][1]))
+        want = {(i, t, p) for s in spots.values() if len(s) > 1 for i, t, a, b in s for p in range(a, b)}
+        texts = {(r["doc_id"], r["g_hash"]): r["text"] for r in frame.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("g_hash")).collect()}
+        got = paradedup.repeated_passages(frame, run=run).collect()
+        assert {(r["doc_id"], texts[r["doc_id"], r["g_hash"]], p) for r in got for p in range(r["start"], r["end"])} == want and want
+        assert all(len(texts[r["doc_id"], r["g_hash"]][r["start"] : r["end"]].encode().split()) == r["n_words"] >= run for r in got)
+        heads = {p for r in got if not r["removed"] for p in ((r["doc_id"], x) for x in range(r["start"], r["end"]))}
+        assert all((r["class_doc"], r["class_start"]) in heads for r in got)
+        if run == 50:
+            assert {r["doc_id"] for r in got} == {1, 2, 5, 8, 9} and {r["class_doc"] for r in got if r["doc_id"] in (2, 5)} == {1}
+            assert [(r["start"], r["end"], r["class_doc"], r["removed"]) for r in got if r["doc_id"] == 9] == [(0, 239, 8, True)]
+    assert paradedup.repeated_passages(empty).count() == 0
+
+
 # ---- media
 
 
