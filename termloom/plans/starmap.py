@@ -158,13 +158,16 @@ def snapshot(spark: SparkSession, sf_dir: str) -> Snapshot:
     return Snapshot(spark, {name: (lambda f=f: f(spark, sf_dir)) for name, f in made.items()})
 
 
-def axioms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def axioms(spark: SparkSession, sf_dir: str, first: bool = False) -> DataFrame:
     """OWL axioms (id, owlExpression) over the geography and the products: parts below their type and brand, groups
-    and values outside groups, a role hierarchy, a chain, a general inclusion, and equivalent classes."""
+    and values outside groups, a role hierarchy, and a general inclusion. Orders are left out. `first` takes parts
+    below 300 and customers and suppliers below 200 only, as the SQL of three queries does."""
     ref = lambda c: F.concat(F.lit(":"), concept(c).cast("string"))
-    up = is_a(spark, sf_dir).filter((F.col("child") < PART + 300) & ~F.col("child").between(CUSTOMER + 200, SUPPLIER - 1) & ~F.col("child").between(SUPPLIER + 200, PART - 1))
+    up, part = is_a(spark, sf_dir).filter(F.col("child") < ORDER), read(spark, sf_dir, "part")
+    if first:
+        up = up.filter((F.col("child") < PART + 300) & ~F.col("child").between(CUSTOMER + 200, SUPPLIER - 1) & ~F.col("child").between(SUPPLIER + 200, PART - 1))
+        part = part.filter("p_partkey < 300")
     tree = up.select(F.concat(F.lit("SubClassOf("), ref(F.col("child")), F.lit(" "), ref(F.col("parent")), F.lit(")")).alias("owlExpression"))
-    part = read(spark, sf_dir, "part").filter("p_partkey < 300")
     some = lambda role, filler: F.concat(F.lit(f"ObjectSomeValuesFrom(:{code(role)} "), filler, F.lit(")"))
     nation = ref(F.pmod(F.col("p_size"), F.lit(25)) + 3000)
     grouped = part.select(F.concat(F.lit("SubClassOf("), ref(F.col("p_partkey") + PART), F.lit(f" ObjectSomeValuesFrom(:{K.ROLE_GROUP} "), some(HAS_SUPPLIER, nation), F.lit("))")).alias("owlExpression"))
