@@ -295,6 +295,23 @@ def validate_cycles(spark, sf_dir):
     return as_items(graph.cyclic(graph.transitive_closure(edges), edges, M.snapshot(spark, sf_dir).concepts.select("id")))
 
 
+#: Customers in a group, within which validate_cycles_all makes edges: paths stay as short at every size.
+GROUP = 150
+
+
+@query(
+    f"""WITH RECURSIVE n AS (SELECT {M.CUSTOMER} + o_custkey AS child, {M.CUSTOMER} + o_custkey - o_custkey % {GROUP} + (o_custkey * 7 + 1) % {GROUP} AS parent FROM orders),
+ e AS (SELECT DISTINCT child, parent FROM n), c(d, a) AS (SELECT child, parent FROM e UNION SELECT c.d, e.parent FROM c JOIN e ON c.a = e.child) SELECT d AS item FROM c WHERE d = a""",
+    projected=False,
+)
+def validate_cycles_all(spark, sf_dir):
+    """validate_cycles over the orders of all customers."""
+    k = F.col("o_custkey")
+    parent = k - k % GROUP + (k * 7 + 1) % GROUP
+    edges = M.read(spark, sf_dir, "orders").select(M.concept(k + M.CUSTOMER).alias("child"), M.concept(parent + M.CUSTOMER).alias("parent")).distinct()
+    return as_items(graph.cyclic(graph.transitive_closure(edges), edges, M.snapshot(spark, sf_dir).concepts.select("id")))
+
+
 # ---- expression constraints: {n} stands for the id of item n
 
 DOWN = "(SELECT d FROM clo WHERE a = {0})"

@@ -1,5 +1,7 @@
 """Queries over whole tables: fixtures whose keys lie above what the queries with fixed SQL read."""
 
+import datetime
+
 import pytest
 
 from termloom.plans import slate
@@ -12,10 +14,10 @@ def tables(spark, tmp_path_factory):
     rows = {
         "region": ("r_regionkey int", [(i,) for i in range(5)]),
         "nation": ("n_nationkey int, n_regionkey int", [(i, (i * 3 + 1) % 5) for i in range(25)]),
-        "customer": ("c_custkey long, c_nationkey int", [(k, k % 25) for k in (3, 150, 199, 200, 450, 4999)]),
+        "customer": ("c_custkey long, c_nationkey int", [(k, k % 25) for k in (3, 150, 199, 200, *range(300, 460), 4999)]),
         "supplier": ("s_suppkey long, s_nationkey int", [(k, k % 25) for k in (5, 200, 9000)]),
         "part": ("p_partkey long, p_brand string, p_type string, p_size int", [(k, f"Brand#{11 + k % 7}", M.PART_TYPES[k % 6], k % 50 + 1) for k in [*range(290, 330), 7000, 7001, 19999]]),
-        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date", []),
+        "orders": ("o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_orderdate date", [(i, k, "1-URGENT", "O", datetime.date(1998, 1, 1)) for i, k in enumerate([*range(10), *range(300, 450), *range(450, 600, 3), 4999], 1)]),
     }
     for name, (schema, data) in rows.items():
         spark.createDataFrame(data, schema).write.parquet(f"{root}/{name}.parquet")
@@ -55,3 +57,11 @@ def test_classification_of_all_parts(spark, tables):
     want |= {(p, M.PLACED_BY, 2000 + b % 5, 0) for p, b, _, n in parts if n % 2 or region[n % 25] != b % 5} | {(b, M.PLACED_BY, 2000 + b % 5, 0) for b in brands}
     got = [tuple(r) for r in slate.nnf_attributes_all(spark, root).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_cycles_of_all_customers(spark, tables):
+    root, t = tables
+    edges = {(M.CUSTOMER + k, M.CUSTOMER + k - k % 150 + (k * 7 + 1) % 150) for _, k, *_ in t["orders"]}
+    want = sorted(a for a, b in closed(edges) if a == b)
+    assert sorted(r["item"] for r in slate.validate_cycles_all(spark, root).collect()) == want
+    assert set(range(M.CUSTOMER + 300, M.CUSTOMER + 450)) <= set(want) and M.CUSTOMER not in want
