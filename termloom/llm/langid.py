@@ -123,19 +123,19 @@ class Predictor:
 
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, most_languages: int = 500, seed: int = 5) -> Languages:
-    """Count n-grams in about `per_language` documents of each language, drawn by the hash of their text; fewer where a language has fewer.
+    """Count n-grams in about `per_language` distinct texts of each language, drawn by their hash; fewer where a language has fewer.
 
     `per_language` and `most_languages` (the most frequent) bound what the driver gathers. Rows with
     a null language or text are left out.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("g_lang"), F.col(text_col).alias("g_text"))
-    sizes = rows.groupBy("g_lang").count().orderBy(F.desc("count"), "g_lang").limit(most_languages).collect()
+    sizes = rows.select("g_lang", F.xxhash64("g_text").alias("g_hash")).distinct().groupBy("g_lang").count().orderBy(F.desc("count"), "g_lang").limit(most_languages).collect()
     names = sorted(r["g_lang"] for r in sizes)
     if not names:
         return Languages([], np.zeros((BUCKETS, 0)))
     part = F.create_map(*[x for r in sizes for x in (F.lit(r["g_lang"]), F.lit(min(1.0, per_language / r["count"])))])
     luck = F.pmod(F.xxhash64("g_text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    drawn = rows.filter(luck < F.element_at(part, F.col("g_lang")))
+    drawn = rows.filter(luck < F.element_at(part, F.col("g_lang"))).distinct()
 
     def count(batches):
         import pyarrow as pa

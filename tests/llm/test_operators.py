@@ -196,6 +196,12 @@ def test_line_dedup(docs, empty):
     assert linededup.line_dedup(empty).count() == 0
 
 
+def test_language_sample_counts_a_text_once(spark):
+    rows = [("en", "the same words")] * 30 + [("en", f"some other text {i}") for i in range(5)]
+    many, once = (langid.train(spark.createDataFrame(r, "lang string, text string"), per_language=20) for r in (rows, sorted(set(rows))))
+    assert np.array_equal(many.table, once.table) and many.table.max() > many.table.min()
+
+
 # ---- near duplicates
 
 
