@@ -6,6 +6,7 @@ single values on the driver (command line, constraint parser).
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -39,16 +40,38 @@ def bound(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _pick(table: list[int], at: Column) -> Column:
-    """The digit at a place of a table of digits: a string is one literal in the plan, an array would be one for each entry."""
-    return F.substring(F.lit("".join(map(str, table))), at + 1, F.lit(1))
+def _table(values: list[int]) -> Column:
+    """A list of small numbers as one literal once the plan is folded."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<int>")
+
+
+def _pair_table(offset: int) -> list[int]:
+    """Products of a pair of digits at places offset and offset + 1: by both digits (0-99), by one where there is no other (100-109)."""
+    low, high = PLACES[offset % 8], PLACES[(offset + 1) % 8]
+    return [PRODUCT[low[v % 10] * 10 + high[v // 10]] for v in range(100)] + [low[v] for v in range(10)]
+
+
+def _fold_number(value: Column, has: Callable[[int], Column], first: int, most: int) -> Column:
+    """fold() of a long of `most` digits at the most: a table look-up for each two, then one for each product. has(i): whether there is a digit at place i."""
+    pairs = [_table(_pair_table(first + k)) for k in range(0, 8, 2)]
+    product = _table(PRODUCT)
+
+    def rest(k: int) -> Column:
+        if 2 * k >= most:
+            return F.lit(0)
+        two = (_div(value, 100**k) if k else value) % 100
+        own = F.get(pairs[k % 4], F.when(has(2 * k + 1), two).otherwise(two + 100).cast("int"))
+        return F.when(has(2 * k), F.get(product, own * 10 + rest(k + 1))).otherwise(0)
+
+    return rest(0)
 
 
 def _fold_column(s: Column, first: int) -> Column:
-    """`s` should be a column or bound: it is read once a digit."""
+    """`s` should be a column or bound: digits, of any number. Up to 18 are read as a long, more are folded one by one."""
     n = F.length(s)
-    digits = F.transform(F.sequence(F.lit(1), n), lambda i: _pick([x for row in PLACES for x in row], F.pmod(i - 1 + first, F.lit(8)) * 10 + F.substring(s, n - i + 1, F.lit(1)).cast("int")).cast("int"))
-    return F.aggregate(digits, F.lit(0), lambda c, p: _pick(PRODUCT, c * 10 + p).cast("int"))
+    places, product = _table([x for row in PLACES for x in row]), _table(PRODUCT)
+    digits = F.transform(F.sequence(F.lit(1), n), lambda i: F.get(places, F.pmod(i - 1 + first, F.lit(8)) * 10 + F.substring(s, n - i + 1, F.lit(1)).cast("int")))
+    return F.when(n <= 18, _fold_number(s.cast("long"), lambda i: n > i, first, 18)).otherwise(F.aggregate(digits, F.lit(0), lambda c, p: F.get(product, c * 10 + p)))
 
 
 def verhoeff_valid(s: Column) -> Column:
@@ -58,7 +81,7 @@ def verhoeff_valid(s: Column) -> Column:
 
 def verhoeff_digit(s: Column) -> Column:
     """The check digit that a string of digits needs, as a string; null for other text."""
-    return bound(s, lambda x: F.when(x.rlike("^[0-9]+$"), _pick(INVERSE, _fold_column(x, 1))))
+    return bound(s, lambda x: F.when(x.rlike("^[0-9]+$"), F.get(_table(INVERSE), _fold_column(x, 1)).cast("string")))
 
 
 class IdError(ValueError):
@@ -121,12 +144,19 @@ def parsed_id(s: Column) -> Column:
 
 
 def composed_id(item: Column, component: str = "Concept", namespace: Column | None = None) -> Column:
-    """The id of an item; null where none can be made. What is composed needs no parsing: only its length can be wrong."""
-    kind = COMPONENTS.index(component)
-    body = F.concat(item.cast("string"), F.lit(f"0{kind}")) if namespace is None else F.concat(item.cast("string"), F.lpad(namespace.cast("string"), 7, "0"), F.lit(f"1{kind}"))
-    good = item > 0 if namespace is None else (item > 0) & namespace.between(0, 9_999_999)
-    digit = lambda x: _pick(INVERSE, _fold_column(x, 1))
-    return bound(F.when(good, body), lambda x: F.when(F.length(x).between(5, 17), F.concat(x, digit(x)).cast("long")))
+    """The id of an item; null where none can be made. What is composed needs no parsing: only its length can be wrong.
+
+    Arithmetic on longs. It is bound, which keeps it out of the generated code: inlined, two or three ids in a
+    projection make methods too large for the JVM to compile.
+    """
+    kind, item = COMPONENTS.index(component), item.cast("long")
+    if namespace is None:
+        good, body = item.between(100, 10**15 - 1), item * 100 + kind
+    else:
+        namespace = namespace.cast("long")
+        good, body = item.between(1, 10**8 - 1) & namespace.between(0, 9_999_999), item * 10**9 + namespace * 100 + (10 + kind)
+    digit = lambda x: F.get(_table(INVERSE), _fold_number(x, lambda i: x >= 10**i, 1, 17))
+    return bound(F.when(good, body), lambda x: F.when(x.isNotNull(), x * 10 + digit(x)))
 
 
 def partition(i: Column) -> Column:
