@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.cuts import Cuts
 from termloom.functions import constants as K
 from termloom.operators import graph
 from termloom.operators.snapshot import Snapshot
@@ -27,10 +28,13 @@ class Compiler:
     """
 
     def __init__(self, snapshot: Snapshot):
-        self.s, self.memo = snapshot, {}
+        self.s, self.memo, self.written = snapshot, {}, None
 
     def __call__(self, text: str) -> DataFrame:
-        return self.compile(parse(text))
+        tree = parse(text)
+        if isinstance(tree, Refined):  # focus, types and values all ask for the known ids: they are written once
+            self.written = Cuts(self.s.spark, "known").cut(self.s.concepts.select("id"))
+        return self.compile(tree)
 
     def compile(self, tree) -> DataFrame:
         if tree not in self.memo:
@@ -40,7 +44,7 @@ class Compiler:
 
     @property
     def known(self) -> DataFrame:
-        return self.s.concepts.select("id")
+        return self.s.concepts.select("id") if self.written is None else self.written
 
     def related(self, concept: int, down: bool, direct: bool) -> DataFrame:
         if direct:
@@ -98,14 +102,20 @@ class Compiler:
         rows = self.s.relationships.filter(F.col("active") & (F.col("characteristicTypeId") == K.INFERRED))
         return rows.select("sourceId", "destinationId", F.col("relationshipGroup").alias("grp"), "typeId")
 
+    def typed(self, rows: DataFrame, name) -> DataFrame:
+        """The rows whose type the constraint `name` selects. That of a plain concept is a filter too, which reaches the scan."""
+        if isinstance(name, Simple) and not name.op and name.concept is not None:
+            rows = rows.filter(F.col("typeId") == name.concept)
+        return rows.join(self.compile(name).withColumnRenamed("id", "typeId"), "typeId", "left_semi")
+
     def matching(self, a: Attribute) -> DataFrame:
         """(id, grp) of the rows that satisfy an attribute constraint, a row each."""
-        types = self.compile(a.name).withColumnRenamed("id", "typeId")
         if a.kind == "expression":
             own, other = ("destinationId", "sourceId") if a.reverse else ("sourceId", "destinationId")
-            rows = self.facts().join(types, "typeId", "left_semi").join(self.compile(a.value).withColumnRenamed("id", other), other, "left_semi")
+            rows = self.typed(self.facts(), a.name)
+            rows = rows.join(self.compile(a.value).withColumnRenamed("id", other), other, "left_semi")
             return rows.select(F.col(own).alias("id"), "grp")
-        rows = self.s.concretes.filter(F.col("active") & (F.col("characteristicTypeId") == K.INFERRED)).join(types, "typeId", "left_semi")
+        rows = self.typed(self.s.concretes.filter(F.col("active") & (F.col("characteristicTypeId") == K.INFERRED)), a.name)
         if a.kind == "number":
             # != counts the equal rows and denies the count
             test = (F.col("value.value_type") == "Number") & compare(F.col("value.num"), "=" if a.op == "!=" else a.op, float(a.value))
@@ -121,8 +131,21 @@ class Compiler:
         """(id, n): in how many groups other than 0 the body holds, by that group's rows alone."""
         attributes: list[Attribute] = []
         holds = self.condition(g.body, attributes, [])
+        counts = self.counts(attributes, ["id", "grp"]).filter("grp <> 0")
+        if not self.holds_empty(g.body):
+            counts = counts.filter(holds)
+            if all(a.kind == "expression" and not a.reverse for a in attributes):  # groups with a match are groups of relationships
+                return counts.groupBy("id").count()
         universe = self.facts().filter("grp <> 0").select(F.col("sourceId").alias("id"), "grp").distinct()
-        return universe.join(self.counts(attributes, ["id", "grp"]), ["id", "grp"], "left").filter(holds).groupBy("id").count()
+        if not self.holds_empty(g.body):
+            return counts.join(universe, ["id", "grp"], "left_semi").groupBy("id").count()
+        return universe.join(counts, ["id", "grp"], "left").filter(holds).groupBy("id").count()
+
+    def holds_empty(self, r) -> bool:
+        """Whether a group's body holds where no row matches any of its constraints."""
+        if isinstance(r, Logic):
+            return (all if r.op == "AND" else any)(self.holds_empty(x) for x in r.items)
+        return (r.low <= 0) != (isinstance(r, Attribute) and r.op == "!=")
 
     def condition(self, r, attributes: list[Attribute], groups: list[Group]) -> Column:
         if isinstance(r, Logic):
