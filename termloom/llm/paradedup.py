@@ -10,14 +10,15 @@ from termloom.llm import passages, shingles
 from termloom.llm.common import Cuts, fresh, map_texts
 from termloom.llm.simjoin import sieve, similar_components
 
-#: 32 minwise values; 9 bands of 2: a pair at the threshold of 0.8 is missed with probability (1 - 0.64) ** 9 = 1e-4.
-MINS, ROWS = 32, 2
-BANDS = 9
+#: Minwise values in a band, and the probability at most with which a pair at the threshold shares no band.
+ROWS, MISS = 3, 1e-4
+#: Minwise values that a paragraph may need; a threshold below 0.58 would take more.
+MOST = 150
 #: Bytes of a paragraph's digest.
 DIGEST = 12
 
 
-def tune(threshold: float, miss: float = 2e-4, rows: int = ROWS) -> int:
+def tune(threshold: float, miss: float = MISS, rows: int = ROWS) -> int:
     """The fewest bands of `rows` values that miss a pair at the threshold with probability `miss` at most."""
     return int(np.ceil(np.log(miss) / np.log(1 - threshold**rows)))
 
@@ -31,8 +32,17 @@ def spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """sets x bands: a hash of each band's number and ROWS minwise values."""
+    bands = values.shape[1] // ROWS
+    out = np.tile(np.arange(1, bands + 1, dtype=np.uint64), (len(values), 1))
+    for r in range(ROWS):
+        out = shingles.mix(out * shingles.BASE + values[:, r::ROWS][:, :bands])
+    return out.view(np.int64)
+
+
 def paragraphs(texts: list[str], k: int, min_words: int, hasher: shingles.MinHash) -> list[list]:
-    """For each text: position, start, end, words, digest, minwise values and sketch of its paragraphs of `min_words` or more."""
+    """For each text: position, start, end, words, digest, size of the set, band keys and sketch of its paragraphs of `min_words` or more."""
     found: list[list] = [[] for _ in texts]
     where, parts = [], []
     for i, t in enumerate(texts):
@@ -42,10 +52,9 @@ def paragraphs(texts: list[str], k: int, min_words: int, hasher: shingles.MinHas
                 parts.append(t[a:b])
     if parts:
         groups = shingles.sets(parts, k)
-        values = hasher.values(groups)
-        marks = shingles.sketches(values)[:, 0].tolist()
-        for (i, pos, a, b, n), g, v, x in zip(where, groups, values, marks, strict=True):
-            found[i].append({"pos": pos, "start": a, "end": b, "n_words": n, "digest": shingles.digest(g, DIGEST), "mins": v.view("int32"), "x0": x})
+        keys = band_keys(hasher.values(groups))
+        for (i, pos, a, b, n), g, v in zip(where, groups, keys, strict=True):
+            found[i].append({"pos": pos, "start": a, "end": b, "n_words": n, "digest": shingles.digest(g, DIGEST), "n": len(g), "keys": v, "sketch": shingles.bins(g)})
     return [found]
 
 
@@ -57,23 +66,23 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     excluded), `n_words`, `class_doc`, `class_start` (the class's first paragraph by id, text hash
     and place) and `removed` (all but that one). Rows equal in id and text are one document.
 
-    A null or empty text has no paragraphs. Null ids come last in order. Other columns are not read.
+    A null or empty text has no paragraphs. `percent` must be 58 or more. Null ids come last in order. Other columns are not read.
     An empty table gives an empty table. Intermediate tables are written to the shared folder.
     """
     cuts = Cuts(docs.sparkSession, "paradedup")
-    hasher = shingles.MinHash(MINS)
-    bands = max(BANDS, tune(percent / 100))
-    if bands * ROWS > MINS:
+    bands = tune(percent / 100)
+    if bands * ROWS > MOST:
         raise ValueError("the threshold is too low for these bands")
+    hasher = shingles.MinHash(ROWS * bands)
     rows = docs.select(F.col(id_col).alias("g_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("g_hash"), F.col(text_col).alias("g_body"))
-    found = map_texts(rows, "g_id", "g_body", lambda ts: paragraphs(ts, k, min_words, hasher), "p array<struct<pos:int,start:int,end:int,n_words:int,digest:binary,mins:array<int>,x0:long>>", carry=("g_hash",), budget=1 << 18)
+    found = map_texts(rows, "g_id", "g_body", lambda ts: paragraphs(ts, k, min_words, hasher), "p array<struct<pos:int,start:int,end:int,n_words:int,digest:binary,n:int,keys:array<long>,sketch:binary>>", carry=("g_hash",), budget=1 << 18)
     signed = found.select("g_id", "g_hash", F.inline("p"))
     who = F.struct(F.col("g_id").isNull().alias("no_id"), "g_id", "g_hash", "pos", "start")
     signed = cuts.cut(signed)
     reps = signed.groupBy("digest").agg(F.min(who).alias("who"))
     first = signed.join(reps, "digest").filter(who.eqNullSafe(F.col("who"))).dropDuplicates(["digest"])
     # numbers are given as the table is written and stay: no later stage makes them anew
-    items = cuts.cut(first.select(F.monotonically_increasing_id().alias("node"), "digest", "who", "mins", "x0"))
+    items = cuts.cut(first.select(F.monotonically_increasing_id().alias("node"), "digest", "who", "n", "keys", "sketch"))
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         wanted = items.select("node", "who").join(nodes, "node").groupBy(F.col("who.g_id").alias("w_id"), F.col("who.g_hash").alias("w_hash")).agg(F.collect_list(F.struct(F.col("who.pos").alias("pos"), "node")).alias("p"))
@@ -81,8 +90,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         lines = near.join(wanted, near["g_id"].eqNullSafe(wanted["w_id"]) & (near["g_hash"] == wanted["w_hash"])).select(F.split("g_body", "\n", -1).alias("lines"), "p")
         return lines.select("lines", F.inline("p")).select("node", F.get("lines", "pos").alias("text"))
 
-    roots = F.array(*[F.xxhash64(F.lit(b), *[F.get("mins", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(bands)])
-    labels = similar_components(items, roots, texts_of, k, percent, cuts)
+    labels = similar_components(items, texts_of, k, percent, cuts)
     named = cuts.cut(items.select("node", "digest", "who").join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"), "who"))
     heads = named.groupBy("label").agg(F.min("who").alias("head"))
     of_node = named.join(heads, "label").select("digest", "label", "head")

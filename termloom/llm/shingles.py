@@ -1,4 +1,4 @@
-"""Word shingles as 64-bit hashes, minwise values and sketches, in whole arrays."""
+"""Word shingles as 64-bit hashes, minwise values, paths and sketches, in whole arrays."""
 
 from __future__ import annotations
 
@@ -114,7 +114,7 @@ def sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 class MinHash:
-    """`size` minwise values (32 bits) of a set; the two lowest bits of each also make its sketch."""
+    """`size` minwise values (32 bits) of a set."""
 
     def __init__(self, size: int, seed: int = 11):
         r = np.random.default_rng(seed)
@@ -140,10 +140,30 @@ class MinHash:
         return out
 
 
-def sketches(values: np.ndarray) -> np.ndarray:
-    """Two bits of each minwise value, 32 values to a 64-bit number."""
-    v = (values & 3).astype(np.uint64).reshape(len(values), -1, 32) << (2 * np.arange(32, dtype=np.uint64))
-    return np.bitwise_or.reduce(v, axis=2).view(np.int64)
+#: Bins of a sketch.
+BINS = 256
+EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
+
+
+def bins(shingles: np.ndarray) -> bytes:
+    """A byte for each of BINS ranges of hashes: 0 where the set has none, else one of 255 numbers by its least hash there."""
+    first = np.searchsorted(shingles, EDGES)
+    last = np.append(first[1:], len(shingles))
+    least = shingles[np.minimum(first, len(shingles) - 1)]
+    return np.where(first < last, (least >> np.uint64(20)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
+
+
+def paths(values: np.ndarray, trees: int, depth: int) -> np.ndarray:
+    """sets x trees: in each tree the node at `depth` that a set's path leads to. Which minwise value comes next follows from the path so far."""
+    out, row = np.zeros((len(values), trees), np.uint64), np.arange(len(values))
+    with np.errstate(over="ignore"):
+        for t in range(trees):
+            key = mix(np.full(len(values), t + 1, np.uint64) * BASE)
+            for _ in range(depth):
+                at = (key % np.uint64(values.shape[1])).astype(np.int64)
+                key = mix((key * BASE + at.astype(np.uint64)) * BASE + values[row, at])
+            out[:, t] = key
+    return out.view(np.int64)
 
 
 def digest(shingles: np.ndarray, size: int = 16) -> bytes:
