@@ -249,6 +249,8 @@ def similar_components(items: DataFrame, texts_of: Callable[[DataFrame], DataFra
             break
         labels = components(reduce(DataFrame.union, links), cuts)
         opened = _opened(groups, labels, cuts)
+        if opened.isEmpty():
+            break
         wide = F.col("outside") > SMALL if branch is not None and depth < DEPTH else F.lit(False)
         links.append(cuts.cut(_compared(_crossed(opened.filter(~wide)), sketched, by_sketch(percent))))
         further = opened.filter(wide).select("key", "node")
@@ -275,7 +277,8 @@ def _confirmed(loose: DataFrame, leaves: list[DataFrame], weights: DataFrame, te
     links = cuts.cut(_compared(_dealt(parts), texts, by_set(k, percent)))
     if not parts.filter("g > 1").isEmpty():
         opened = _opened(parts, components(links, cuts), cuts)
-        links = links.union(cuts.cut(_compared(_crossed(opened), texts, by_set(k, percent))))
+        if not opened.isEmpty():
+            links = links.union(cuts.cut(_compared(_crossed(opened), texts, by_set(k, percent))))
     out = components(links, cuts)
     cuts.drop(texts)
     return out
