@@ -55,7 +55,9 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and text are one document. Windows are counted, not paired, so a group's size does not matter:
 
     1. Each document gives its windows' marks, about two for each run // 2 words; marks that stand in one text, once, drop out.
-    2. Equal texts are one text. Of texts with a mark that is left, and of those that several documents hold, windows are shuffled and counted.
+    2. Equal texts are one text. Of texts with a mark that is left, and of those that several documents hold, neighbouring windows
+       of one mark make a segment. Of a segment that stands twice all windows do; inside a passage that repeats, all segments do.
+    3. Only where a mark has several segments, at the ends of passages, are windows counted, once for each different segment.
     """
     cuts = Cuts(docs.sparkSession, "passages")
     rows = docs.select(F.col(id_col).alias("g_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("g_hash"), F.col(text_col).alias("g_body"))
@@ -73,18 +75,25 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cuts.drop(shared)
     near = sieve(rows, "g_hash", wanted, "w_hash")
     texts = near.join(wanted, (near["g_hash"] == wanted["w_hash"]) & near["g_id"].eqNullSafe(wanted["first.g_id"])).select("doc", "g_body", "many", "marks")
-    made = cuts.cut(texts.mapInArrow(_windows_of(run), "doc long, many boolean, window long, at int, start int, end int"))
+    made = cuts.cut(texts.mapInArrow(_segments_of(run), SEGMENT))
     place = F.struct("doc", "at", "start")
-    classes = made.groupBy("window").agg(F.min(place).alias("head"), F.max(F.struct("doc", "at")).alias("last"), F.bool_or("many").alias("held"))
-    classes = classes.filter((F.col("head.doc") != F.col("last.doc")) | (F.col("head.at") != F.col("last.at")) | F.col("held")).select("window", "head")
-    repeated = cuts.cut(made.join(classes, "window").select("doc", "many", "at", "start", "end", "head", (place != F.col("head")).alias("removed")))
-    cuts.drop(made)
+    segs = made.groupBy("mark", "seg").agg(F.min(place).alias("head"), F.max(F.struct("doc", "at")).alias("last"), F.bool_or("many").alias("held"), F.bool_or("twice").alias("twice"), F.max("n").alias("n"))
+    again = (F.col("head.doc") != F.col("last.doc")) | (F.col("head.at") != F.col("last.at")) | F.col("held")
+    segs = cuts.cut(segs.select("mark", "seg", "head", "n", "twice", again.alias("again")))
+    mixed = cuts.cut(segs.groupBy("mark").agg(F.count(F.lit(1)).alias("c"), F.bool_or("twice").alias("t")).filter("c > 1 OR t").select("mark"))
+    whole = segs.filter("again").join(mixed, "mark", "left_anti").select("seg", F.col("head").alias("seg_head"), F.lit(True).alias("own"), F.lit(0).alias("low"), (F.col("n") - 1).alias("high"), "head")
+    pieces = cuts.cut(whole.unionByName(_pieces(made, segs.join(mixed, "mark", "left_semi"), cuts)))
+    occurs = made.select("doc", "many", "at", "seg", "start", "s", "e").join(pieces, "seg")
+    first = F.col("own") & (F.col("doc") == F.col("seg_head.doc")) & (F.col("at") == F.col("seg_head.at"))
+    repeated = cuts.cut(occurs.select("doc", "many", (F.col("at") + F.col("low")).alias("at"), (F.col("at") + F.col("high")).alias("to"), (F.col("start") + F.get("s", "low")).alias("start"), (F.col("start") + F.get("e", "high")).alias("end"), "head", (~first).alias("removed")))
+    cuts.drop(made, segs, mixed, pieces)
     lead = F.min(F.struct("at", "start", "head")).alias("f")
-    extent = (F.max("end").alias("end"), (F.max("at") - F.min("at") + run).alias("n_words"))
+    extent = (F.max("end").alias("end"), (F.max("to") - F.min("at") + run).alias("n_words"))
     numbers = wanted.select("doc", "w_hash", "first")
-    # runs of the documents that hold a text first; rows that are equal rank equally
-    island = F.col("at") - F.dense_rank().over(Window.partitionBy("doc", "removed").orderBy("at"))
-    own = repeated.withColumn("island", island).groupBy("doc", "removed", "island").agg(lead, *extent).join(numbers, "doc").select(F.col("first.g_id").alias("g_id"), F.col("w_hash").alias("g_hash"), "f", "end", "n_words", "removed")
+    # runs of the documents that hold a text first: pieces follow each other without a gap
+    ordered = Window.partitionBy("doc", "removed").orderBy("at")
+    opens = F.coalesce(F.col("at") > F.lag("to").over(ordered) + 1, F.lit(True)).cast("int")
+    own = repeated.withColumn("opens", opens).withColumn("island", F.sum("opens").over(ordered)).groupBy("doc", "removed", "island").agg(lead, *extent).join(numbers, "doc").select(F.col("first.g_id").alias("g_id"), F.col("w_hash").alias("g_hash"), "f", "end", "n_words", "removed")
     # the others that hold it: all of it stands elsewhere first
     copies = repeated.filter("many").groupBy("doc").agg(lead, *extent).join(numbers, "doc")
     other = holders.join(copies, (F.col("g_hash") == F.col("w_hash")) & ~F.col("g_id").eqNullSafe(F.col("first.g_id"))).select("g_id", "g_hash", "f", "end", "n_words", F.lit(True).alias("removed"))
@@ -93,20 +102,69 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("g_id").alias(id_col), "g_hash", "f.start", "end", "n_words", "class_doc", F.col("f.head.start").alias("class_start"), "removed")
 
 
-def _windows_of(run: int):
-    """Of rows (doc, text, many, marks): a row for each window with one of the marks, for each window of a text that many hold."""
+def _pieces(made: DataFrame, segs: DataFrame, cuts: Cuts) -> DataFrame:
+    """(seg, seg_head, own, low, high, head): of segments whose marks others share, the stretches of windows that stand elsewhere too.
+
+    `own`: in its first occurrence the segment is where these windows stand first.
+    """
+    heads = segs.select(F.col("head.doc").alias("doc"), F.col("head.at").alias("at"), "again", "head")
+    rows = made.select("doc", "at", "seg", "start", "w", "s").join(heads, ["doc", "at"])
+    rows = rows.select("seg", "again", F.col("head").alias("seg_head"), "doc", "at", "start", F.posexplode(F.arrays_zip("w", "s")).alias("off", "z"))
+    rows = cuts.cut(rows.select("seg", "again", "seg_head", "off", F.col("z.w").alias("window"), F.struct("doc", (F.col("at") + F.col("off")).alias("at"), (F.col("start") + F.col("z.s")).alias("start")).alias("place")))
+    classes = rows.groupBy("window").agg(F.min("place").alias("head"), F.max("place").alias("last"), F.bool_or("again").alias("again"))
+    classes = classes.filter((F.col("head") != F.col("last")) | F.col("again")).select("window", "head")
+    found = rows.join(classes, "window").select("seg", "seg_head", "off", "head", (F.col("head") == F.col("place")).alias("own"))
+    island = F.col("off") - F.row_number().over(Window.partitionBy("seg", "own").orderBy("off"))
+    runs = found.withColumn("island", island).groupBy("seg", "own", "island").agg(F.first("seg_head").alias("seg_head"), F.min("off").alias("low"), F.max("off").alias("high"), F.min(F.struct("off", "head")).alias("f"))
+    return runs.select("seg", "seg_head", "own", "low", "high", F.col("f.head").alias("head"))
+
+
+#: A segment of a text: n windows from word `at` on, which have one mark. w: their hashes; s, e: where they start and end, from `start`.
+SEGMENT = "doc long, many boolean, mark long, seg long, at int, n int, twice boolean, start int, w array<long>, s array<int>, e array<int>"
+
+
+def _segments_of(run: int):
+    """Of rows (doc, text, many, marks): the segments with one of the marks, all those of a text that many hold."""
     import pyarrow as pa
 
-    names = ["doc", "many", "window", "at", "start", "end"]
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+
+    def segments(doc, many, marks, base, whole, least, starts, ends):
+        low = np.concatenate(([0], np.flatnonzero(least[1:] != least[:-1]) + 1))
+        n = np.diff(np.append(low, len(least)))
+        keep = np.ones(len(low), bool) if many else np.isin(least[low], marks)
+        if not keep.any():
+            return None
+        inside = np.arange(len(least)) - np.repeat(low, n)
+        seg = np.add.reduceat(shingles.mix(whole.view(np.uint64) + inside.astype(np.uint64) * shingles.BASE), low).view(np.int64)
+        twice = np.zeros(len(low), bool)
+        if len(np.unique(whole)) < len(whole):
+            twice = np.array([keep[i] and len(np.unique(whole[a : a + m])) < m for i, (a, m) in enumerate(zip(low.tolist(), n.tolist(), strict=True))])
+        at = np.flatnonzero(np.repeat(keep, n))
+        begin = starts[base + low]
+        shift = np.repeat(begin, n)[at]
+        low, n = low[keep], n[keep]
+        one = np.ones(len(low), np.int64)
+        return one * doc, one * many, least[low], seg[keep], low, n, twice[keep], begin[keep], whole[at], starts[base + at] - shift, ends[base + at + run - 1] - shift
+
+    def batch_of(found):
+        cols = [np.concatenate(c) for c in zip(*found, strict=True)]
+        offsets = pa.array(np.concatenate(([0], np.cumsum(cols[5]))).astype(np.int32))
+        flat = [pa.array(c, t) for c, t in zip(cols[:8], (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int32()), strict=True)]
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(c, t)) for c, t in zip(cols[8:], (pa.int64(), pa.int32(), pa.int32()), strict=True)]
+        return pa.RecordBatch.from_arrays([*flat, *lists], names=names)
 
     def each(batches):
         for batch in batches:
             bodies, docs, many = (batch.column(i).to_pylist() for i in (1, 0, 2))
             for a, b in slices(bodies, 1 << 18):
                 starts, ends = shingles.word_bounds(bodies[a:b])
+                found = []
                 for i, (base, whole, least) in enumerate(windows(bodies[a:b], run), a):
-                    at = np.arange(len(whole)) if many[i] else np.flatnonzero(np.isin(least, batch.column(3)[i].values.to_numpy(zero_copy_only=False)))
-                    cols = [np.full(len(at), docs[i], np.int64), np.full(len(at), many[i]), whole[at], at.astype(np.int32), starts[base + at].astype(np.int32), ends[base + at + run - 1].astype(np.int32)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names)
+                    marks = None if many[i] else batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                    if len(whole) and (got := segments(docs[i], many[i], marks, base, whole, least, starts, ends)):
+                        found.append(got)
+                if found:
+                    yield batch_of(found)
 
     return each
