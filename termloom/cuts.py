@@ -12,11 +12,18 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder of the cluster; a folder of this machine only where none is configured (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="termloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Cuts:
     """Tables written to the shared folder to cut lineage; drop() removes those no longer needed.
 
@@ -34,9 +41,13 @@ class Cuts:
         self.paths[id(out)] = out, path  # holds the frame, so that its id stays its own
         return out
 
+    def settle(self, df: DataFrame) -> DataFrame:
+        """Write a result and remove all the tables that led to it."""
+        out = self.cut(df)
+        self.drop(*[x for x, _ in self.paths.values() if x is not out])
+        return out
+
     def drop(self, *frames: DataFrame) -> None:
-        jvm = self.spark._jvm
         for df in frames:
             if entry := self.paths.pop(id(df), None):
-                p = jvm.org.apache.hadoop.fs.Path(entry[1])
-                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+                remove(self.spark, entry[1])
