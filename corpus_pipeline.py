@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.llm import bpe, langid, linededup, mixing, neardup
-from termloom.llm.common import checkpoint_root, fresh
+from termloom.llm.common import checkpoint_root, fresh, remove
 from termloom.llm.queries import vocabulary
 
 
@@ -52,4 +52,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{i}-{name}")
         docs = spark.read.parquet(f"{base}/{i}-{name}")
+        if i:
+            remove(spark, f"{base}/{i - 1}-{STAGES[i - 1][0]}")
     return docs

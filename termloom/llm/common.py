@@ -6,7 +6,7 @@ from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-from termloom.cuts import Cuts, checkpoint_root  # noqa: F401
+from termloom.cuts import Cuts, checkpoint_root, remove  # noqa: F401
 
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

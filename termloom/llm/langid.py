@@ -36,6 +36,12 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def words_of(text: str) -> list[str]:
+    """Lower-case runs of letters; numerals and marks that the pattern takes for letters go."""
+    found = WORD.findall(text.lower())
+    return found if all(map(str.isalpha, found)) else [w for x in found if (w := "".join(filter(str.isalpha, x)))]
+
+
 class Languages:
     """Smoothed n-gram log-likelihoods of each language, as one table: buckets x languages."""
 
@@ -107,7 +113,7 @@ class Predictor:
             return [{} for _ in texts]
         if len(self.index) > CACHE:
             self.index, self.rows = {}, self.rows[:0]
-        index, found = self.index, [WORD.findall(t.lower()) for t in texts]
+        index, found = self.index, [words_of(t) for t in texts]
         at = [[index.setdefault(w, len(index)) for w in words] for words in found]
         if len(index) > len(self.rows):
             new = list(index)[len(self.rows) :]
@@ -125,11 +131,13 @@ class Predictor:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 2000, most_languages: int = 500, seed: int = 5) -> Languages:
     """Count n-grams in about `per_language` distinct texts of each language, drawn by their hash; fewer where a language has fewer.
 
-    `per_language` and `most_languages` (the most frequent) bound what the driver gathers. Rows with
+    `per_language` and `most_languages`, beyond which it fails, bound what the driver gathers. Rows with
     a null language or text are left out.
     """
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("g_lang"), F.col(text_col).alias("g_text"))
-    sizes = rows.select("g_lang", F.xxhash64("g_text").alias("g_hash")).distinct().groupBy("g_lang").count().orderBy(F.desc("count"), "g_lang").limit(most_languages).collect()
+    sizes = rows.select("g_lang", F.xxhash64("g_text").alias("g_hash")).distinct().groupBy("g_lang").count().limit(most_languages + 1).collect()
+    if len(sizes) > most_languages:
+        raise ValueError(f"more than {most_languages} languages")
     names = sorted(r["g_lang"] for r in sizes)
     if not names:
         return Languages([], np.zeros((BUCKETS, 0)))
@@ -144,7 +152,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", p
         for b in batches:
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 seen = words.setdefault(lang, {})
-                for w in WORD.findall(text.lower()):
+                for w in words_of(text):
                     seen[w] = seen.get(w, 0) + 1
         for lang, seen in words.items():
             if not seen:
@@ -189,12 +197,16 @@ def held_out(doc_id: Column) -> Column:
 
 
 def keep_languages(docs: DataFrame, model: Languages, accepted: list[str] | None = None, least: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, with all columns, whose largest language is accepted (None: any of the model) and makes up `least` of the text or more."""
+    """The rows of `docs`, with all columns, whose largest language is accepted (None: any of the model) and makes up `least` of the text or more.
+
+    Of equal proportions the first by name counts, as in detect(). A null text or one without letters goes; repeated
+    rows are judged alike; an empty table gives an empty table.
+    """
     names, tab = model.names, docs.sparkSession.sparkContext.broadcast(model.table)
     wanted = set(names if accepted is None else accepted)
 
     def keep(p: Predictor, texts: list[str]) -> list[bool]:
-        best = [max(x.items(), key=lambda x: (x[1], x[0]), default=(UNKNOWN, 0.0)) for x in p.proportions(texts)]
+        best = [min(x.items(), key=lambda x: (-x[1], x[0]), default=(UNKNOWN, 0.0)) for x in p.proportions(texts)]
         return [k in wanted and v >= least for k, v in best]
 
     return filter_texts(docs, text_col, keep, setup=lambda: Predictor(Languages.of(names, tab.value)))

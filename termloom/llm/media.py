@@ -119,10 +119,17 @@ def npy(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def npy_tile(image: np.ndarray, side: int = 16) -> bytes:
-    """The image as an area-resized NPY tile of 8-bit samples."""
+def top_value(data: bytes) -> int:
+    """The largest sample that the file's header allows."""
+    if data[:2] == b"BM":
+        return 255
+    return 1 if data[1:2] in b"14" else netpbm_fields(data, 3)[0][2]
+
+
+def npy_tile(image: np.ndarray, side: int = 16, top: int = 255) -> bytes:
+    """The image as an area-resized NPY tile of 8-bit samples; `top`, the largest possible sample, becomes 255."""
     planes = [area_resize(image[:, :, c], side, side) for c in range(image.shape[2])]
-    return npy(np.clip(np.rint(np.stack(planes, axis=2)), 0, 255).astype(np.uint8))
+    return npy(np.clip(np.rint(np.stack(planes, axis=2) * (255 / top)), 0, 255).astype(np.uint8))
 
 
 def features(data: bytes) -> tuple[int, int, int, str, bytes, str | None]:
@@ -131,9 +138,9 @@ def features(data: bytes) -> tuple[int, int, int, str, bytes, str | None]:
         image = decode(data)
         if not image.size:
             raise ValueError("no pixels")
-    except (ValueError, struct.error, IndexError) as e:
+    except (ValueError, struct.error, IndexError, OverflowError, MemoryError) as e:
         return 0, 0, 0, "", b"", str(e)
-    return *image.shape, difference_hash(gray(image)), npy_tile(image), None
+    return *image.shape, difference_hash(gray(image)), npy_tile(image, top=top_value(data)), None
 
 
 def media_features(files: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:

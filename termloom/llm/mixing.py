@@ -19,9 +19,15 @@ def uniform(seed: int, *cols: Column) -> Column:
 def poisson_table(rate: Column) -> Column:
     """Cumulative Poisson probabilities for 0, 1, 2 ... to where the rest is below 2^-53; sums of logarithms, so that no rate underflows."""
     last = F.ceil(rate + 12 * F.sqrt(rate) + 40).cast("int")
-    log_p = lambda k: F.when(rate > 0, k * F.ln(rate) - rate - F.aggregate(F.sequence(F.lit(1), F.greatest(k, F.lit(1))), F.lit(0.0), lambda a, j: a + F.ln(j.cast("double")))).otherwise(F.when(k == 0, 0.0).otherwise(-1e300))
-    p = F.transform(F.sequence(F.lit(0), last), lambda k: F.exp(log_p(k)))
-    return F.transform(F.sequence(F.lit(1), last + 1), lambda n: F.aggregate(F.slice(p, 1, n), F.lit(0.0), lambda a, x: a + x))
+    start = F.struct(F.lit(0.0).alias("log"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, k: Column) -> Column:
+        log = acc["log"] + F.when(k > 0, F.ln(F.greatest(k, F.lit(1)).cast("double"))).otherwise(0.0)
+        p = F.when(rate > 0, F.exp(k * F.ln(rate) - rate - log)).otherwise(F.when(k == 0, 1.0).otherwise(0.0))
+        total = acc["sum"] + p
+        return F.struct(log.alias("log"), total.alias("sum"), F.array_append(acc["out"], total).alias("out"))
+
+    return F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["out"])
 
 
 def poisson_mix(docs: DataFrame, weights: Mapping[str, float], other_weight: float = 0.0, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", epochs: float = 1.0, seed: int = 17) -> DataFrame:

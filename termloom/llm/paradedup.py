@@ -11,9 +11,11 @@ from termloom.llm.common import Cuts, fresh, map_texts
 from termloom.llm.simjoin import sieve, similar_components
 
 #: Minwise values in a band, and the probability at most with which a pair at the threshold shares no band.
-ROWS, MISS = 3, 1e-4
-#: Minwise values that a paragraph may need; a threshold below 0.58 would take more.
+ROWS, MISS = 2, 1e-4
+#: Minwise values that a paragraph may need; a threshold below 0.35 would take more.
 MOST = 150
+#: Bins of a paragraph's sketch.
+BINS = 128
 #: Bytes of a paragraph's digest.
 DIGEST = 12
 
@@ -54,7 +56,7 @@ def paragraphs(texts: list[str], k: int, min_words: int, hasher: shingles.MinHas
         groups = shingles.sets(parts, k)
         keys = band_keys(hasher.values(groups))
         for (i, pos, a, b, n), g, v in zip(where, groups, keys, strict=True):
-            found[i].append({"pos": pos, "start": a, "end": b, "n_words": n, "digest": shingles.digest(g, DIGEST), "n": len(g), "keys": v, "sketch": shingles.bins(g)})
+            found[i].append({"pos": pos, "start": a, "end": b, "n_words": n, "digest": shingles.digest(g, DIGEST), "n": len(g), "keys": v, "sketch": shingles.bins(g, BINS)})
     return [found]
 
 
@@ -66,7 +68,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     excluded), `n_words`, `class_doc`, `class_start` (the class's first paragraph by id, text hash
     and place) and `removed` (all but that one). Rows equal in id and text are one document.
 
-    A null or empty text has no paragraphs. `percent` must be 58 or more. Null ids come last in order. Other columns are not read.
+    A null or empty text has no paragraphs. `percent` must be 35 or more. Null ids come last in order. Other columns are not read.
     An empty table gives an empty table. Intermediate tables are written to the shared folder.
     """
     cuts = Cuts(docs.sparkSession, "paradedup")
@@ -98,11 +100,11 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sizes = plain.groupBy("digest").count().join(of_node, "digest")
     classes = cuts.cut(sizes.groupBy("label").agg(F.sum("count").alias("n"), F.first("head").alias("head")).filter("n > 1").join(of_node.select("label", "digest"), "label").select("digest", "head"))
     out = plain.join(classes, "digest")
-    return out.select(
+    return cuts.settle(out.select(
         F.col("g_id").alias(id_col), "g_hash", "pos", "start", "end", "n_words",
         F.col("head.g_id").alias("class_doc"), F.col("head.start").alias("class_start"),
         (~who.eqNullSafe(F.col("head"))).alias("removed"),
-    )
+    ))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run: int = 50) -> DataFrame:

@@ -64,7 +64,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = map_texts(rows, "g_id", "g_body", lambda ts: marks(ts, run), "p array<struct<mark:long,twice:boolean>>", carry=("g_hash",), budget=1 << 18)
     found = cuts.cut(found.filter(F.size("p") > 0))
     who = F.struct(F.col("g_id").isNull().alias("no_id"), "g_id")
-    holders = found.select("g_id", "g_hash").distinct()
+    holders = cuts.cut(found.select("g_id", "g_hash").distinct())
     firsts = holders.groupBy("g_hash").agg(F.min(who).alias("first"), (F.count(F.lit(1)) > 1).alias("many"))
     marked = found.select("g_hash", F.inline("p"))
     shared = cuts.cut(marked.groupBy("mark").agg(F.min("g_hash").alias("a"), F.max("g_hash").alias("b"), F.bool_or("twice").alias("twice")).filter("a <> b OR twice").select("mark"))
@@ -72,7 +72,7 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     wanted = firsts.join(hits, "g_hash", "left").filter("many OR marks IS NOT NULL").select(F.col("g_hash").alias("w_hash"), "first", "many", "marks")
     # numbers in the order of ids and hashes, given as the table is written
     wanted = cuts.cut(wanted.orderBy("first", "w_hash").select(F.monotonically_increasing_id().alias("doc"), "*"))
-    cuts.drop(shared)
+    cuts.drop(shared, found)
     near = sieve(rows, "g_hash", wanted, "w_hash")
     texts = near.join(wanted, (near["g_hash"] == wanted["w_hash"]) & near["g_id"].eqNullSafe(wanted["first.g_id"])).select("doc", "g_body", "many", "marks")
     made = cuts.cut(texts.mapInArrow(_segments_of(run), SEGMENT))
@@ -82,11 +82,12 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     segs = cuts.cut(segs.select("mark", "seg", "head", "n", "twice", again.alias("again")))
     mixed = cuts.cut(segs.groupBy("mark").agg(F.count(F.lit(1)).alias("c"), F.bool_or("twice").alias("t")).filter("c > 1 OR t").select("mark"))
     whole = segs.filter("again").join(mixed, "mark", "left_anti").select("seg", F.col("head").alias("seg_head"), F.lit(True).alias("own"), F.lit(0).alias("low"), (F.col("n") - 1).alias("high"), "head")
-    pieces = cuts.cut(whole.unionByName(_pieces(made, segs.join(mixed, "mark", "left_semi"), cuts)))
+    found, *own_rows = _pieces(made, segs.join(mixed, "mark", "left_semi"), cuts)
+    pieces = cuts.cut(whole.unionByName(found))
     occurs = made.select("doc", "many", "at", "seg", "start", "s", "e").join(pieces, "seg")
     first = F.col("own") & (F.col("doc") == F.col("seg_head.doc")) & (F.col("at") == F.col("seg_head.at"))
     repeated = cuts.cut(occurs.select("doc", "many", (F.col("at") + F.col("low")).alias("at"), (F.col("at") + F.col("high")).alias("to"), (F.col("start") + F.get("s", "low")).alias("start"), (F.col("start") + F.get("e", "high")).alias("end"), "head", (~first).alias("removed")))
-    cuts.drop(made, segs, mixed, pieces)
+    cuts.drop(made, segs, mixed, pieces, *own_rows)
     lead = F.min(F.struct("at", "start", "head")).alias("f")
     extent = (F.max("end").alias("end"), (F.max("to") - F.min("at") + run).alias("n_words"))
     numbers = wanted.select("doc", "w_hash", "first")
@@ -99,13 +100,13 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     other = holders.join(copies, (F.col("g_hash") == F.col("w_hash")) & ~F.col("g_id").eqNullSafe(F.col("first.g_id"))).select("g_id", "g_hash", "f", "end", "n_words", F.lit(True).alias("removed"))
     heads = wanted.select(F.col("doc").alias("h_doc"), F.col("first.g_id").alias("class_doc"))
     out = own.unionByName(other).join(heads, F.col("f.head.doc") == F.col("h_doc"))
-    return out.select(F.col("g_id").alias(id_col), "g_hash", "f.start", "end", "n_words", "class_doc", F.col("f.head.start").alias("class_start"), "removed")
+    return cuts.settle(out.select(F.col("g_id").alias(id_col), "g_hash", "f.start", "end", "n_words", "class_doc", F.col("f.head.start").alias("class_start"), "removed"))
 
 
-def _pieces(made: DataFrame, segs: DataFrame, cuts: Cuts) -> DataFrame:
+def _pieces(made: DataFrame, segs: DataFrame, cuts: Cuts) -> tuple[DataFrame, DataFrame]:
     """(seg, seg_head, own, low, high, head): of segments whose marks others share, the stretches of windows that stand elsewhere too.
 
-    `own`: in its first occurrence the segment is where these windows stand first.
+    `own`: in its first occurrence the segment is where these windows stand first. Also returns the written windows.
     """
     heads = segs.select(F.col("head.doc").alias("doc"), F.col("head.at").alias("at"), "again", "head")
     rows = made.select("doc", "at", "seg", "start", "w", "s").join(heads, ["doc", "at"])
@@ -116,7 +117,7 @@ def _pieces(made: DataFrame, segs: DataFrame, cuts: Cuts) -> DataFrame:
     found = rows.join(classes, "window").select("seg", "seg_head", "off", "head", (F.col("head") == F.col("place")).alias("own"))
     island = F.col("off") - F.row_number().over(Window.partitionBy("seg", "own").orderBy("off"))
     runs = found.withColumn("island", island).groupBy("seg", "own", "island").agg(F.first("seg_head").alias("seg_head"), F.min("off").alias("low"), F.max("off").alias("high"), F.min(F.struct("off", "head")).alias("f"))
-    return runs.select("seg", "seg_head", "own", "low", "high", F.col("f.head").alias("head"))
+    return runs.select("seg", "seg_head", "own", "low", "high", F.col("f.head").alias("head")), rows
 
 
 #: A segment of a text: n windows from word `at` on, which have one mark. w: their hashes; s, e: where they start and end, from `start`.

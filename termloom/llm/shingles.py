@@ -140,14 +140,9 @@ class MinHash:
         return out
 
 
-#: Bins of a sketch.
-BINS = 256
-EDGES = np.arange(BINS, dtype=np.uint64) << np.uint64(56)
-
-
-def bins(shingles: np.ndarray) -> bytes:
-    """A byte for each of BINS ranges of hashes: 0 where the set has none, else one of 255 numbers by its least hash there."""
-    first = np.searchsorted(shingles, EDGES)
+def bins(shingles: np.ndarray, n: int = 256) -> bytes:
+    """A byte for each of n ranges of hashes: 0 where the set has none, else one of 255 numbers by its least hash there."""
+    first = np.searchsorted(shingles, np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n))
     last = np.append(first[1:], len(shingles))
     least = shingles[np.minimum(first, len(shingles) - 1)]
     return np.where(first < last, (least >> np.uint64(20)) % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
