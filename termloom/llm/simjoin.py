@@ -14,8 +14,8 @@ from termloom.llm import shingles
 from termloom.llm.common import Cuts
 from termloom.llm.components import components
 
-#: Items that a task compares with each other at a time; a larger group is dealt into blocks of about so many.
-SMALL = 256
+#: Items that a task compares with each other at a time, in whole arrays; a larger group is dealt into blocks of about so many.
+SMALL = 1024
 #: Shingles that a block holds when sets are compared, beyond its largest set.
 WEIGHT = 1 << 20
 #: Levels of branching; a node that is still wide there is compared block by block.
@@ -27,7 +27,7 @@ SIEVE_BITS = 24
 #: The screen before the exact check lets pass what is within so many standard deviations of the threshold.
 SIGMAS = 5.0
 #: Columns of the shingle matrix that are multiplied at a time.
-CHUNK = 1 << 13
+CHUNK = 1 << 11
 LINK = StructType([StructField("a", LongType()), StructField("b", LongType())])
 
 
