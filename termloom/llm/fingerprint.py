@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import DatetimeType, NumericType, StructField, StructType, _parse_datatype_string
 
 from termloom.llm.common import map_texts
 
@@ -95,8 +95,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def neighbours(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int = 2000, most_ranges: int = 20_000) -> DataFrame:
     """Rows dealt into ranges of falling ids and sorted, each range followed by the first row of the next (marked `g_extra`).
 
-    The bounds are quantiles of the ids (`most_ranges` at most, a documented accuracy of 1 / most_ranges),
-    so no range holds much more than its share unless one id repeats. Null ids come last.
+    The bounds are quantiles of the ids (`most_ranges` at most, a documented accuracy of 1 / most_ranges), of strings
+    those of a sample of 20 * most_ranges ids at most on average, so no range holds much more than its share unless one id repeats. Null ids come last.
     """
     spark = docs.sparkSession
     rng, extra, order = "g_range", "g_extra", "g_order"
@@ -104,7 +104,13 @@ def neighbours(docs: DataFrame, id_col: str, text_col: str, rows_per_range: int
     ids = docs.select(id_col)
     count = ids.count()
     n = max(1, min(most_ranges, count // rows_per_range))
-    cuts = sorted(set(ids.select(F.percentile_approx(id_col, [i / n for i in range(1, n)], 10 * n)).first()[0] or [])) if n > 1 else []
+    if n == 1:
+        cuts = []
+    elif isinstance(docs.schema[id_col].dataType, NumericType | DatetimeType):
+        cuts = sorted(set(ids.select(F.percentile_approx(id_col, [i / n for i in range(1, n)], 10 * n)).first()[0] or []))
+    else:  # ids that have no quantiles: every 20th of those that a hash draws, about 20 a range
+        drawn = F.pmod(F.xxhash64(id_col), F.lit(count)) < 20 * n
+        cuts = [r[0] for r in ids.filter(F.col(id_col).isNotNull() & drawn).distinct().orderBy(id_col).collect()][20::20]
     # ranges count from the largest ids; literals, so that a task that runs again deals out alike
     bound = F.array(*[F.lit(c) for c in cuts]) if cuts else None
     where = F.lit(0) if bound is None else F.lit(len(cuts)) - F.size(F.filter(bound, lambda c: c <= F.col(id_col)))

@@ -410,6 +410,15 @@ def test_chunks():
     assert fingerprint.unpacked(fingerprint.packed(fp)) == fp and fingerprint.unpacked("") == {}
 
 
+def test_fingerprint_edits_of_string_ids(spark):
+    rows = [(f"k{i:05d}", prose(random.Random(i), 200)) for i in range(5000)]
+    got = {r["id"]: r for r in fingerprint.fingerprint_edits(spark.createDataFrame([*rows, (None, "x")], "id string, text string"), "id").collect()}
+    assert len(got) == 5001
+    for (i, t), (_, following) in zip(rows[:0:-1], rows[-2::-1], strict=True):
+        edited = t[: len(t) - len(t) // 3] + following[: len(t) // 3]
+        assert got[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("per_range", [2000, 7])
 def test_fingerprint_edits(docs, empty, per_range, monkeypatch):
     real = fingerprint.neighbours
