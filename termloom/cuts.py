@@ -32,13 +32,20 @@ class Cuts:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base, self.n = spark, f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, tuple[DataFrame, str]] = {}
+        self.paths: dict[int, tuple[DataFrame, list[str]]] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         path, self.n = f"{self.base}/{self.n}", self.n + 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = out, path  # holds the frame, so that its id stays its own
+        self.paths[id(out)] = out, [path]  # holds the frame, so that its id stays its own
+        return out
+
+    def together(self, *frames: DataFrame) -> DataFrame:
+        """Tables of this object, of equal columns, read as one, which takes them over: a table that grows is not written again."""
+        paths = [p for df in frames for p in self.paths.pop(id(df))[1]]
+        out = self.spark.read.schema(frames[0].schema).parquet(*paths)
+        self.paths[id(out)] = out, paths
         return out
 
     def settle(self, df: DataFrame) -> DataFrame:
@@ -50,4 +57,5 @@ class Cuts:
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             if entry := self.paths.pop(id(df), None):
-                remove(self.spark, entry[1])
+                for path in entry[1]:
+                    remove(self.spark, path)

@@ -86,7 +86,7 @@ def saturate(flat: DataFrame, cuts: Cuts) -> DataFrame:
                 step = lambda p, q: left(p).join(chains, "r").join(right(q), ["z", "s"]).select("x", F.col("t").alias("r"), "y")
                 pairs = pairs.union(step(dr, r)).union(step(r, dr))
         new_r = cuts.cut(_minus(pairs, *([r] if r is not None else [])))
-        all_r = cuts.cut(r.union(new_r)) if r is not None else new_r
+        all_r = cuts.together(r, new_r) if r is not None else new_r
         # a pair to y, y below a, some r.a below c: x below c
         meets = lambda p, q: p.join(q.select(F.col("x").alias("y"), "a"), "y").join(nf3, ["a", "r"]).select("x", F.col("c").alias("a"))
         found = meets(new_r, s)
@@ -102,7 +102,7 @@ def saturate(flat: DataFrame, cuts: Cuts) -> DataFrame:
         new_any = not new_s.isEmpty()
         if not new_any and new_r.isEmpty():
             return s
-        grown = cuts.cut(s.union(new_s)) if new_any else s
+        grown = cuts.together(s, new_s) if new_any else s
         s, ds, r, dr = grown, new_s, all_r, new_r
 
 

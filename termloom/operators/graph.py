@@ -22,8 +22,8 @@ def transitive_closure(edges: DataFrame, cuts: Cuts | None = None) -> DataFrame:
     """(descendant, ancestor) for every path of one edge or more, so a concept on a cycle is its own ancestor.
 
     Paths double in each round, so the rounds are the logarithm of the longest path. New pairs come
-    from the last round's new pairs only: (new then known) and (known then new). Each round's table is
-    written to the shared folder; the loop ends when a round adds nothing.
+    from the last round's new pairs only: (new then known) and (known then new). Each round's new pairs are
+    written to the shared folder beside those known; the loop ends when a round adds nothing.
     """
     cuts = cuts or Cuts(edges.sparkSession, "closure")
     known = cuts.cut(edges.select(F.col("child").alias("descendant"), F.col("parent").alias("ancestor")).distinct())
@@ -38,11 +38,7 @@ def transitive_closure(edges: DataFrame, cuts: Cuts | None = None) -> DataFrame:
         if fresh.isEmpty():
             cuts.drop(fresh)
             return known
-        grown = cuts.cut(known.unionByName(fresh))
-        if new is not known:
-            cuts.drop(new)
-        cuts.drop(known)
-        known, new = grown, fresh
+        known, new = cuts.together(known, fresh), fresh
 
 
 def reach(edges: DataFrame, seeds: DataFrame, down: bool = True, cuts: Cuts | None = None) -> DataFrame:
@@ -102,8 +98,28 @@ def proximal(closure: DataFrame) -> DataFrame:
     return strict.select(F.col("descendant").alias("child"), F.col("ancestor").alias("parent")).join(passed, ["child", "parent"], "left_anti")
 
 
-def cyclic(closure: DataFrame, edges: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Ids on a cycle that known concepts (column `id`) lead to."""
-    loops = closure.filter("descendant = ancestor").select(F.col("ancestor").alias("id"))
-    above = closure.join(concepts.select(F.col("id").alias("descendant")), "descendant", "left_semi").select(F.col("ancestor").alias("id"))
+def core(edges: DataFrame, cuts: Cuts) -> DataFrame:
+    """What is left of a written table of edges when those that lead to a top or start at a bottom are taken away, round
+    by round, while a round takes a tenth or more of them. Edges on cycles always stay; a hierarchy without any is soon empty."""
+    rest, size = edges, edges.count()
+    while size:
+        starts, ends = rest.select(F.col("child").alias("parent")).distinct(), rest.select(F.col("parent").alias("child")).distinct()
+        inner = cuts.cut(rest.join(starts, "parent", "left_semi").join(ends, "child", "left_semi").select("child", "parent"))
+        if rest is not edges:
+            cuts.drop(rest)
+        rest, size, before = inner, inner.count(), size
+        if size > 0.9 * before:
+            break
+    return rest
+
+
+def cyclic(edges: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Ids on a cycle that known concepts (column `id`) lead to. Only the core of the graph is closed."""
+    cuts = Cuts(edges.sparkSession, "cyclic")
+    edges = cuts.cut(edges.select("child", "parent").distinct())
+    rest = core(edges, cuts)
+    if rest.isEmpty():
+        return rest.select(F.col("child").alias("id"))
+    loops = transitive_closure(rest, cuts).filter("descendant = ancestor").select(F.col("ancestor").alias("id"))
+    above = reach(edges, concepts, down=False, cuts=cuts)
     return loops.join(above.unionByName(concepts.select("id")).distinct(), "id", "left_semi")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -168,15 +168,26 @@ class Snapshot:
 
     def validate(self) -> dict[str, DataFrame]:
         """Ids by fault; inactive rows count too. Concrete values are not checked."""
-        known = self.concepts.select("id")
+        known = Cuts(self.spark, "known").cut(self.concepts.select("id"))
         miss = lambda rows, col: rows.join(known.withColumnRenamed("id", col), col, "left_anti").select("id")
         return {
             "dangling_descriptions": miss(self.descriptions, "conceptId"),
             "dangling_sources": miss(self.relationships, "sourceId"),
             "dangling_destinations": miss(self.relationships, "destinationId"),
-            "cyclic_concepts": graph.cyclic(self.closure, self.edges, known),
+            "cyclic_concepts": graph.cyclic(self.edges, known),
         }
 
+    def issues(self) -> DataFrame:
+        """(fault, n): the number of findings of each kind, 0 among them."""
+        counts = [df.agg(F.lit(name).alias("fault"), F.count(F.lit(1)).alias("n")) for name, df in self.validate().items()]
+        return reduce(DataFrame.unionByName, counts)
+
+    def issue_count(self) -> int:
+        return self.issues().agg(F.sum("n")).first()[0]
+
+    def is_clean(self) -> bool:
+        return all(df.isEmpty() for df in self.validate().values())
+
 
 class History:
     """All versions of concepts, descriptions and relationships, from Full files."""

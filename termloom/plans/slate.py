@@ -284,6 +284,17 @@ def validate_dangling(spark, sf_dir):
     return tag("dangling_descriptions", "description", I.item_identifier(F.col("id"))).unionByName(tag("dangling_sources", "source", F.col("id"))).unionByName(tag("dangling_destinations", "destination", F.col("id"))).distinct()
 
 
+@query(
+    f"""SELECT 'dangling_destinations' AS fault, (SELECT count(*) FROM orders WHERE ({M.CUSTOMER} + o_custkey) % {BROKEN} = 0) + (SELECT count(*) FROM lineitem WHERE ({M.PART} + l_partkey) % {BROKEN} = 1) AS n
+ UNION ALL SELECT 'dangling_sources', (SELECT count(*) FROM customer WHERE ({M.CUSTOMER} + c_custkey) % {BROKEN} = 0) + 2 * (SELECT count(*) FROM part WHERE ({M.PART} + p_partkey) % {BROKEN} = 1)
+ UNION ALL SELECT 'dangling_descriptions', 3 * (SELECT count(*) FROM part WHERE ({M.PART} + p_partkey) % {BROKEN} = 1) + (SELECT count(*) FROM documents)
+ UNION ALL SELECT 'cyclic_concepts', 0""",
+    projected=False,
+)
+def validate_issues(spark, sf_dir):
+    return broken(spark, sf_dir).issues()
+
+
 @query(
     f"""WITH RECURSIVE n AS (SELECT {M.CUSTOMER} + o_custkey AS child, {M.CUSTOMER} + (o_custkey * 7 + 1) % 150 AS parent FROM orders WHERE o_custkey < 150),
  e AS (SELECT DISTINCT child, parent FROM n), c(d, a) AS (SELECT child, parent FROM e UNION SELECT c.d, e.parent FROM c JOIN e ON c.a = e.child) SELECT d AS item FROM c WHERE d = a""",
@@ -292,7 +303,7 @@ def validate_dangling(spark, sf_dir):
 def validate_cycles(spark, sf_dir):
     o = M.read(spark, sf_dir, "orders").filter("o_custkey < 150")
     edges = o.select(M.concept(F.col("o_custkey") + M.CUSTOMER).alias("child"), M.concept((F.col("o_custkey") * 7 + 1) % 150 + M.CUSTOMER).alias("parent")).distinct()
-    return as_items(graph.cyclic(graph.transitive_closure(edges), edges, M.snapshot(spark, sf_dir).concepts.select("id")))
+    return as_items(graph.cyclic(edges, M.snapshot(spark, sf_dir).concepts.select("id")))
 
 
 #: Customers in a group, within which validate_cycles_all makes edges: paths stay as short at every size.
@@ -309,7 +320,7 @@ def validate_cycles_all(spark, sf_dir):
     k = F.col("o_custkey")
     parent = k - k % GROUP + (k * 7 + 1) % GROUP
     edges = M.read(spark, sf_dir, "orders").select(M.concept(k + M.CUSTOMER).alias("child"), M.concept(parent + M.CUSTOMER).alias("parent")).distinct()
-    return as_items(graph.cyclic(graph.transitive_closure(edges), edges, M.snapshot(spark, sf_dir).concepts.select("id")))
+    return as_items(graph.cyclic(edges, M.snapshot(spark, sf_dir).concepts.select("id")))
 
 
 # ---- expression constraints: {n} stands for the id of item n

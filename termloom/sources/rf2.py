@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
+from decimal import Decimal
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -110,7 +112,7 @@ def read_records(spark: SparkSession, paths: list[str], record: Record, arrivals
     for i, (name, kind) in enumerate(record.fields):
         if kind != "x":
             wrong = wrong.when(typed(F.get("parts", F.lit(i)), kind).isNull(), F.lit(f"Field {name}"))
-    at = F.coalesce(F.element_at(F.create_map(*[x for p, k in arrivals.items() for x in (F.lit(p), F.lit(k))]), F.element_at(F.split("path", "/"), -1)), F.lit(0)) if arrivals else F.lit(0)
+    at = F.coalesce(F.element_at(F.create_map(*[x for p, k in arrivals.items() for x in (F.lit(p), F.lit(k))]), F.regexp_replace("path", "^file:/+", "file:/")), F.lit(0)) if arrivals else F.lit(0)
     lines = lines.withColumn("g_wrong", wrong)
     if strict:
         checked = F.when(F.col("g_wrong").isNotNull(), F.raise_error(F.concat(F.lit("malformed release row: "), F.col("g_wrong"), F.lit(" in "), F.col("path"), F.lit(": "), F.col("raw"))).cast("int")).otherwise(F.lit(1))
@@ -118,14 +120,12 @@ def read_records(spark: SparkSession, paths: list[str], record: Record, arrivals
     else:
         lines = lines.filter("g_wrong IS NULL")
     # a file's lines keep their order in the id of the task's row; the file's place in the sorted list leads
-    return lines.select(*cols, (at.cast("long") * F.lit(1 << 52) + F.monotonically_increasing_id()).alias("arrival"))
+    return lines.select(*cols, (at.cast("decimal(10,0)") * F.lit(Decimal(1 << 63)) + F.monotonically_increasing_id()).cast("decimal(38,0)").alias("arrival"))
 
 
 def find_error(spark: SparkSession, paths: list[str], record: Record) -> Rf2Error | None:
     """The first fault by path and line; reads the failing files again, line by line on the driver."""
     checkers = {"S": lambda s: I.parse_id(s), "T": V.parse_time}
-    import re
-
     def bad(kind: str, s: str) -> bool:
         if kind in checkers:
             try:
@@ -202,11 +202,16 @@ def select_files(spark: SparkSession, root: str, release_type: str) -> LoadRepor
     return report
 
 
+def uri(spark: SparkSession, path: str) -> str:
+    """A path as read_records meets it: escaped, and one slash after `file:`."""
+    return re.sub("^file:/+", "file:/", spark._jvm.org.apache.hadoop.fs.Path(path).toUri().toString())
+
+
 def load_release(spark: SparkSession, root: str, release_type: str = "Snapshot", strict: bool = True) -> tuple[dict[str, DataFrame], LoadReport]:
     """Record type to typed rows for the files of a release directory, one read for each type, and what was passed over."""
     report = select_files(spark, root, release_type)
-    order = {PurePosixPath(p).name: i for i, p in enumerate(sorted(p for ps in report.loaded.values() for p in ps))}
-    return {name: read_records(spark, paths, RECORDS[name], {PurePosixPath(p).name: order[PurePosixPath(p).name] for p in paths}, strict) for name, paths in report.loaded.items()}, report
+    order = {p: i for i, p in enumerate(sorted(p for ps in report.loaded.values() for p in ps))}
+    return {name: read_records(spark, paths, RECORDS[name], {uri(spark, p): order[p] for p in paths}, strict) for name, paths in report.loaded.items()}, report
 
 
 def to_json(rows: DataFrame, record: Record) -> DataFrame:

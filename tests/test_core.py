@@ -65,12 +65,21 @@ def test_graph_with_cycles(spark):
     assert {r["id"] for r in graph.ancestors(edges, 1).collect()} == {2}
     assert graph.is_ancestor_of(edges, 1, 1) and graph.subsumes(edges, 9, 9) and not graph.is_ancestor_of(edges, 5, 5)
     known = spark.createDataFrame([(3,), (5,)], "id long")
-    assert {r["id"] for r in graph.cyclic(closure, edges, known).collect()} == {1, 2}
+    assert {r["id"] for r in graph.cyclic(edges, known).collect()} == {1, 2}
+
+
+def test_cycles_below_and_above_trees(spark):
+    tree = [(i, i // 2) for i in range(2, 64)]
+    edges = spark.createDataFrame([*tree, (100, 63), (101, 100), (100, 102), (102, 101), (1, 200), (200, 201), (201, 200)], "child long, parent long")
+    known = spark.createDataFrame([(101,), (5,)], "id long")
+    assert {r["id"] for r in graph.cyclic(edges, known).collect()} == {100, 101, 102, 200, 201}
+    assert {r["id"] for r in graph.cyclic(edges, known.filter("id = 5")).collect()} == {200, 201}
+    assert graph.cyclic(spark.createDataFrame(tree, edges.schema), known).count() == 0
 
 
 def test_cross_edge_cycles_are_found(spark):
     edges = spark.createDataFrame([(1, 2), (2, 1), (1, 3), (3, 2)], "child long, parent long")
-    assert {r["id"] for r in graph.cyclic(graph.transitive_closure(edges), edges, edges.select(F.col("child").alias("id"))).collect()} == {1, 2, 3}
+    assert {r["id"] for r in graph.cyclic(edges, edges.select(F.col("child").alias("id"))).collect()} == {1, 2, 3}
 
 
 CONCEPT = "id\teffectiveTime\tactive\tmoduleId\tdefinitionStatusId"
@@ -156,3 +165,22 @@ def test_newest_inactive_member_hides_older(spark):
     s = Snapshot.of_rows(spark, {"simple": rows})
     assert {r["id"] for r in s.refset_members(1).collect()} == {6}
     assert s.is_member(1, 6) and not s.is_member(1, 5)
+
+
+def test_issue_counts(spark, release):
+    snapshot, _ = Snapshot.load(spark, str(release))
+    assert snapshot.is_clean() and snapshot.issue_count() == 0
+    snapshot._tables["concept"] = snapshot.concepts.filter(F.col("id") != FINDING)
+    assert not snapshot.is_clean() and snapshot.issue_count() == 3
+    assert {r["fault"]: r["n"] for r in snapshot.issues().collect()} == {"dangling_descriptions": 1, "dangling_sources": 1, "dangling_destinations": 1, "cyclic_concepts": 0}
+
+
+def test_files_of_equal_names_arrive_in_order_of_their_paths(spark, tmp_path):
+    for folder, defined in (("a b", 1), ("c", 0)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "sct2_Concept_Snapshot_INT_20190731.txt").write_text(f"{CONCEPT}\n{concept(MI, active=defined)}\n{concept(MI, active=1 - defined)}\n")
+    rows, _ = rf2.load_release(spark, str(tmp_path))
+    assert [r["active"] for r in rows["concept"].orderBy("arrival").collect()] == [True, False, False, True]
+    path = str(tmp_path / "c" / "sct2_Concept_Snapshot_INT_20190731.txt")
+    late = rf2.read_records(spark, [path], RECORDS["concept"], {rf2.uri(spark, f"file:{path}"): 1 << 20}).orderBy("arrival").collect()
+    assert [int(r["arrival"]) - (1 << 83) for r in late] == [0, 1]
