@@ -132,7 +132,7 @@ def _error(s: Column) -> Column:
         .when(~n.between(6, 18), length)
         .when(~s.rlike("^[0-9]+$"), "NonDigit")
         .when(s.startswith("0"), "LeadingZero")
-        .when(_fold_column(s, 0) != 0, "CheckDigit")
+        .when(_fold_number(s.cast("long"), lambda i: n > i, 0, 18) != 0, "CheckDigit")
         .when((part % 10 > 2) | (part > 12), F.concat(F.lit("InvalidPartition("), part.cast("string"), F.lit(")")))
         .when((part >= 10) & (n < 11), length)
     )

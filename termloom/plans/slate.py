@@ -349,6 +349,12 @@ CONSTRAINTS = {
     "ecl_wildcard": ("*", "SELECT item FROM concept"),
     "ecl_wildcard_desc": ("< *", "SELECT item FROM concept WHERE item IN (SELECT child FROM isa)"),
     "ecl_wildcard_anc": ("> *", "SELECT item FROM concept WHERE item IN (SELECT parent FROM isa)"),
+    "ecl_wildcard_desc_or_self": ("<< *", "SELECT item FROM concept"),
+    "ecl_wildcard_anc_or_self": (">> *", "SELECT item FROM concept"),
+    "ecl_wildcard_child": ("<! *", "SELECT item FROM concept WHERE item IN (SELECT child FROM isa)"),
+    "ecl_wildcard_parent": (">! *", "SELECT item FROM concept WHERE item IN (SELECT parent FROM isa)"),
+    "ecl_wildcard_child_or_self": ("<<! *", "SELECT item FROM concept"),
+    "ecl_wildcard_parent_or_self": (">>! *", "SELECT item FROM concept"),
     "ecl_memberof": ("^ {8011}", f"SELECT {M.CUSTOMER} + c_custkey AS item FROM customer WHERE c_mktsegment = 'AUTOMOBILE'"),
     "ecl_and": ("< {4001} AND < {5013}", f"SELECT {M.PART} + p_partkey AS item FROM part WHERE p_type = 'ECONOMY' AND p_brand = 'Brand#13'"),
     "ecl_or": ("< {4001} OR < {5013}", f"SELECT {M.PART} + p_partkey AS item FROM part WHERE p_type = 'ECONOMY' OR p_brand = 'Brand#13'"),
@@ -365,6 +371,7 @@ CONSTRAINTS = {
     "ecl_refine_num_ne": ("< {6001} : {7004} != #10", f"{LOW} AND item NOT IN (SELECT src FROM lines WHERE qty = 10)"),
     "ecl_refine_num_card": ("< {1003} : [2..3] {7004} <= #12.5", f"{ORDERS} AND (SELECT count(*) FROM lines l WHERE l.src = c.item AND qty <= 12.5) BETWEEN 2 AND 3"),
     "ecl_refine_str": ('< {6001} : {7006} = "A"', f"{LOW} AND item IN (SELECT src FROM lines WHERE flag = 'A')"),
+    "ecl_refine_str_ne": ('< {6001} : {7006} != "A"', f"{LOW} AND item NOT IN (SELECT src FROM lines WHERE flag = 'A')"),
     "ecl_refine_strset": ('< {6001} : [3..*] {7006} = ("A" "N")', f"{LOW} AND (SELECT count(*) FROM lines l WHERE l.src = c.item AND flag IN ('A', 'N')) >= 3"),
     "ecl_group": ("< {1003} : { {7002} = << {4001}, {7003} = << {3001} }", f"{ORDERS} AND EXISTS (SELECT r.grp FROM rel r JOIN rel q ON r.src = q.src AND r.grp = q.grp WHERE r.src = c.item AND r.type = 7002 AND r.dst IN {DOWN_SELF.format(4001)} AND q.type = 7003 AND q.dst IN {DOWN_SELF.format(3001)} AND r.grp <> 0)"),
     "ecl_group_card": ("< {6001} : [3..*] { {7002} = * }", f"{LOW} AND (SELECT count(DISTINCT grp) FROM rel r WHERE r.src = c.item AND r.type = 7002 AND grp <> 0) >= 3"),
@@ -380,6 +387,7 @@ CONSTRAINTS = {
     "ecl_filter_module_not": ("* {{ C moduleId != ({1001} OR {1003}) }}", "SELECT item FROM concept WHERE module NOT IN (1001, 1003)"),
     "ecl_filter_time": ('* {{ C effectiveTime >= "19990101" }}', "SELECT item FROM concept WHERE time >= 19990101"),
     "ecl_filter_time_set": ('* {{ C effectiveTime = ("19980601" "20010101" "19970228") }}', "SELECT item FROM concept WHERE time IN (19980601, 20010101, 19970228)"),
+    "ecl_filter_time_not": ('* {{ C effectiveTime != ("19980601" "20240101") }}', "SELECT item FROM concept WHERE time NOT IN (19980601, 20240101)"),
     "ecl_filter_chain": ('< {1003} {{ C active = true, effectiveTime < "19980101" }} {{ C definitionStatus != defined }} : {7004} > #40', f"{ORDERS} AND active AND time < 19980101 AND NOT defined AND item IN (SELECT src FROM lines WHERE qty > 40)"),
 }
 
@@ -465,20 +473,38 @@ def nnf_attributes(spark, sf_dir):
     return nnf.normal_forms(M.axioms(spark, sf_dir, first=True)).attributes.select(*[I.item_identifier(F.col(c)).alias(c) for c in ("concept", "type_id", "destination_id")], "grp")
 
 
+# the same over all parts, customers and suppliers
 
-# the same over all parts, customers and suppliers; without SQL, held against brute force on a fixture
+
+def taxonomy(first: str = "true", parts: str = "true") -> str:
+    """What the axioms imply, of the edges and parts that two conditions leave."""
+    return f"""up(child, parent) AS (
+ SELECT child, parent FROM isa WHERE child < {M.ORDER} AND {first}
+ -- what is placed by a nation of region 1, or by region 1 itself, is a transaction
+ UNION SELECT {M.PART} + p_partkey, {M.TRANSACTION} FROM part JOIN nation ON n_nationkey = p_size % 25 WHERE {parts} AND p_size % 2 = 0 AND n_regionkey = 1
+ UNION SELECT DISTINCT 5000 + CAST(substr(p_brand, 7) AS BIGINT), {M.TRANSACTION} FROM part WHERE {parts} AND (5000 + CAST(substr(p_brand, 7) AS BIGINT)) % 5 = 1),
+sup(d, a) AS (SELECT child, parent FROM up UNION SELECT s.d, u.parent FROM sup s JOIN up u ON s.a = u.child),
+prox(concept, parent) AS (SELECT d, a FROM sup s WHERE NOT EXISTS (SELECT 1 FROM sup x JOIN sup y ON x.a = y.d WHERE x.d = s.d AND y.a = s.a))"""
+
+
+def stated(parts: str = "true") -> str:
+    """The attributes of the normal forms."""
+    return f"""SELECT {M.PART} + p_partkey AS concept, 1 AS grp, {M.HAS_SUPPLIER}::BIGINT AS type_id, 3000::BIGINT + p_size % 25 AS destination_id FROM part WHERE {parts}
+ UNION ALL SELECT {M.PART} + p_partkey, 0, {M.PLACED_BY}, 3000 + p_size % 25 FROM part WHERE {parts} AND p_size % 2 = 0
+ UNION ALL SELECT {M.PART} + p_partkey, 0, {M.PLACED_BY}, 2000 + CAST(substr(p_brand, 7) AS BIGINT) % 5 FROM part JOIN nation ON n_nationkey = p_size % 25 WHERE {parts} AND NOT (p_size % 2 = 0 AND n_regionkey = CAST(substr(p_brand, 7) AS BIGINT) % 5)
+ UNION ALL SELECT DISTINCT 5000 + CAST(substr(p_brand, 7) AS BIGINT), 0, {M.PLACED_BY}, 2000 + CAST(substr(p_brand, 7) AS BIGINT) % 5 FROM part WHERE {parts}"""
 
 
-@query()
+@query(f", {taxonomy()} SELECT d AS sub, a AS sup FROM sup")
 def el_subsumption_all(spark, sf_dir):
     return as_items(el.classify(M.axioms(spark, sf_dir)).subsumption, "sub", "sup")
 
 
-@query()
+@query(f", {taxonomy()} SELECT concept, parent FROM prox")
 def nnf_is_a_all(spark, sf_dir):
     return as_items(nnf.normal_forms(M.axioms(spark, sf_dir)).is_a, "concept", "parent")
 
 
-@query()
+@query(stated())
 def nnf_attributes_all(spark, sf_dir):
     return nnf.normal_forms(M.axioms(spark, sf_dir)).attributes.select(*[I.item_identifier(F.col(c)).alias(c) for c in ("concept", "type_id", "destination_id")], "grp")

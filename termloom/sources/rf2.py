@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import ids as I
 from termloom.functions import values as V
-from termloom.sources.schemas import RECORDS, Record, route
+from termloom.sources.schemas import RECORDS, ROUTES, Record, route
 
 RELEASE_TYPES = ("Full", "Snapshot", "Delta")
 BOM = "﻿"
@@ -75,6 +75,13 @@ def typed(raw: Column, kind: str) -> Column:
     return {"S": I.parsed_id, "T": V.time, "B": V.active, "U": V.unsigned, "X": V.non_empty, "x": lambda c: c, "V": V.concrete_value, "I": V.member_id}[kind](raw)
 
 
+def typed_fields(record: Record) -> Column:
+    """The values of `parts` as a struct, null where malformed. All ids are parsed by one expression: planning does not grow with their number."""
+    part = lambda i: F.get("parts", F.lit(i))
+    places = [i for i, (_, kind) in enumerate(record.fields) if kind == "S"]
+    return I.bound(F.transform(F.array(*map(part, places)), I.parsed_id), lambda ids: F.struct(*[(F.get(ids, F.lit(places.index(i))) if kind == "S" else typed(part(i), kind)).alias(name) for i, (name, kind) in enumerate(record.fields)]))
+
+
 def scan_lines(spark: SparkSession, paths: list[str], record: Record) -> DataFrame:
     """One row for each data row: `path`, `raw` (the line) and `parts` (its fields).
 
@@ -88,16 +95,46 @@ def scan_lines(spark: SparkSession, paths: list[str], record: Record) -> DataFra
 
 
 def check_headers(spark: SparkSession, paths: list[str], record: Record) -> None:
-    """The first line of each file must be the record's header."""
+    """The first line of each file must be the record's header; only these lines are read, without a job."""
+    hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
     for path in paths:
-        first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
-        if not first:
-            raise Rf2Error(path, "MissingHeader")
-        found = first[0]["value"].removeprefix(BOM).removesuffix("\r")
+        at = hadoop.fs.Path(path)
+        reader = hadoop.util.LineReader(at.getFileSystem(conf).open(at), conf, bytearray(b"\n"))
+        try:
+            line = hadoop.io.Text()
+            if not reader.readLine(line):
+                raise Rf2Error(path, "MissingHeader")
+        finally:
+            reader.close()
+        found = line.toString().removeprefix(BOM).removesuffix("\r")
         if found.split("\t") != record.header:
             raise Rf2Error(path, "Header", 1, detail=f"found {found!r}")
 
 
+def file_name(record: Record, release_type: str, country: str, date: int) -> str:
+    """A name that routes to the record type."""
+    content, summary = next((c, p.strip("*")) for c, p, name in ROUTES if name == record.name)
+    return f"{'der2' if record.is_member else 'sct2'}_{content}_{summary}{release_type}_{country}_{date}.txt"
+
+
+def write_records(raw: DataFrame, record: Record, root: str, release_type: str = "Snapshot", country: str = "INT", date: int = 20240101) -> list[str]:
+    """Write rows of text fields, named as the record's, as release files: one for each partition, told apart by a number after the country.
+
+    Fields hold no tab or newline and are not null. Returns the paths in the order of the partitions.
+    """
+    spark, hadoop = raw.sparkSession, raw.sparkSession._jvm.org.apache.hadoop
+    part = f"{root}/_{record.name}_{release_type}_{country}"
+    plain = {"sep": "\t", "header": True, "quote": "\0", "escape": "\0", "emptyValue": "", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+    raw.select(*record.header).write.options(**plain).csv(part)
+    fs = hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    made = sorted(str(f.getPath()) for f in fs.listStatus(hadoop.fs.Path(part)) if f.getPath().getName().startswith("part-"))
+    out = [f"{root}/{file_name(record, release_type, f'{country}{i:06d}', date)}" for i in range(len(made))]
+    for a, b in zip(made, out, strict=True):
+        fs.rename(hadoop.fs.Path(a), hadoop.fs.Path(b))
+    fs.delete(hadoop.fs.Path(part), True)
+    return out
+
+
 def read_records(spark: SparkSession, paths: list[str], record: Record, arrivals: dict[str, int] | None = None, strict: bool = True) -> DataFrame:
     """Typed rows of files of one record type, with `arrival`: a number that rises with the sorted path, then the line.
 
@@ -107,11 +144,12 @@ def read_records(spark: SparkSession, paths: list[str], record: Record, arrivals
     check_headers(spark, paths, record)
     lines = scan_lines(spark, paths, record)
     n = len(record.fields)
-    cols = [typed(F.get("parts", F.lit(i)), kind).alias(name) for i, (name, kind) in enumerate(record.fields)]
-    wrong = F.when(F.size("parts") != n, F.lit("ColumnCount"))
-    for i, (name, kind) in enumerate(record.fields):
+    # out of a generator, so that no filter is pushed below it and parses once more
+    lines = lines.select("path", "raw", F.size("parts").alias("g_n"), F.inline(F.array(typed_fields(record))))
+    wrong = F.when(F.col("g_n") != n, F.lit("ColumnCount"))
+    for name, kind in record.fields:
         if kind != "x":
-            wrong = wrong.when(typed(F.get("parts", F.lit(i)), kind).isNull(), F.lit(f"Field {name}"))
+            wrong = wrong.when(F.col(name).isNull(), F.lit(f"Field {name}"))
     at = F.coalesce(F.element_at(F.create_map(*[x for p, k in arrivals.items() for x in (F.lit(p), F.lit(k))]), F.regexp_replace("path", "^file:/+", "file:/")), F.lit(0)) if arrivals else F.lit(0)
     lines = lines.withColumn("g_wrong", wrong)
     if strict:
@@ -120,7 +158,7 @@ def read_records(spark: SparkSession, paths: list[str], record: Record, arrivals
     else:
         lines = lines.filter("g_wrong IS NULL")
     # a file's lines keep their order in the id of the task's row; the file's place in the sorted list leads
-    return lines.select(*cols, (at.cast("decimal(10,0)") * F.lit(Decimal(1 << 63)) + F.monotonically_increasing_id()).cast("decimal(38,0)").alias("arrival"))
+    return lines.select(*record.header, (at.cast("decimal(10,0)") * F.lit(Decimal(1 << 63)) + F.monotonically_increasing_id()).cast("decimal(38,0)").alias("arrival"))
 
 
 def find_error(spark: SparkSession, paths: list[str], record: Record) -> Rf2Error | None:
