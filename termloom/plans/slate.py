@@ -387,7 +387,7 @@ CONSTRAINTS = {
     "ecl_filter_module_not": ("* {{ C moduleId != ({1001} OR {1003}) }}", "SELECT item FROM concept WHERE module NOT IN (1001, 1003)"),
     "ecl_filter_time": ('* {{ C effectiveTime >= "19990101" }}', "SELECT item FROM concept WHERE time >= 19990101"),
     "ecl_filter_time_set": ('* {{ C effectiveTime = ("19980601" "20010101" "19970228") }}', "SELECT item FROM concept WHERE time IN (19980601, 20010101, 19970228)"),
-    "ecl_filter_time_not": ('* {{ C effectiveTime != ("19980601" "20240101") }}', "SELECT item FROM concept WHERE time NOT IN (19980601, 20240101)"),
+    "ecl_filter_time_not": ('* {{ C effectiveTime != ("19980601" "20240101") }}', "SELECT item FROM concept WHERE time <> 19980601 OR time <> 20240101"),
     "ecl_filter_chain": ('< {1003} {{ C active = true, effectiveTime < "19980101" }} {{ C definitionStatus != defined }} : {7004} > #40', f"{ORDERS} AND active AND time < 19980101 AND NOT defined AND item IN (SELECT src FROM lines WHERE qty > 40)"),
 }
 
